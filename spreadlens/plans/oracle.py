@@ -121,3 +121,84 @@ SELECT propagation_id, text, label, round(avg_degree_centrality, 6) AS avg_degre
        round(eigenvector_centrality, 6) AS eigenvector_centrality,
        round(median_retweet_time, 6) AS median_retweet_time, graph_status
 FROM features""", eigen=True)
+
+
+# ---------------------------------------------------------------- text corpus, TF-IDF, retrieval
+TEXT_CTES = r"""
+corpus AS (
+  SELECT d.doc_id, coalesce(d.text, '') AS text, CASE WHEN l.toxic = 1 THEN 'fake' ELSE 'real' END AS label,
+         CASE WHEN d.doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split
+  FROM documents d JOIN labels l USING (doc_id)),
+toks AS (SELECT doc_id, split, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM corpus),
+tc AS (SELECT doc_id, split, term, count(*) AS tf FROM toks GROUP BY doc_id, split, term),
+idf AS (
+  SELECT term, count(*) AS df,
+         ln((1.0 + (SELECT count(*) FROM corpus WHERE split = 'train')) / (1.0 + count(*))) + 1 AS idf
+  FROM tc WHERE split = 'train' GROUP BY term),
+w0 AS (SELECT tc.doc_id, tc.split, tc.term, tf * idf AS w FROM tc JOIN idf USING (term)),
+vec AS (SELECT doc_id, split, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w0),
+dots AS (
+  SELECT a.doc_id AS qid, b.doc_id AS bid, sum(a.weight * b.weight) AS sim
+  FROM vec a JOIN vec b USING (term) WHERE b.split = 'train' GROUP BY a.doc_id, b.doc_id),
+test_train AS (
+  SELECT t.doc_id AS test_id, r.doc_id AS train_id, coalesce(d.sim, 0) AS sim
+  FROM corpus t JOIN corpus r ON t.split = 'test' AND r.split = 'train'
+  LEFT JOIN dots d ON d.qid = t.doc_id AND d.bid = r.doc_id),
+topk AS (
+  SELECT test_id, train_id, sim,
+         row_number() OVER (PARTITION BY test_id ORDER BY round(sim, 9) DESC, train_id) AS rank
+  FROM test_train),
+partner AS (
+  SELECT train_id, partner_id, sim FROM (
+    SELECT a.doc_id AS train_id, b.doc_id AS partner_id, coalesce(d.sim, 0) AS sim,
+           row_number() OVER (PARTITION BY a.doc_id ORDER BY round(coalesce(d.sim, 0), 9) DESC, b.doc_id) AS rn
+    FROM corpus a JOIN corpus b ON a.split = 'train' AND b.split = 'train' AND a.label <> b.label
+    LEFT JOIN dots d ON d.qid = a.doc_id AND d.bid = b.doc_id)
+  WHERE rn = 1),
+balanced AS (
+  SELECT test_id, rank AS slot, 'Similar' AS kind, train_id, train_id AS anchor_id, sim FROM topk WHERE rank <= 3
+  UNION ALL
+  SELECT t.test_id, t.rank + 3, 'Contrastive', p.partner_id, t.train_id, p.sim
+  FROM topk t JOIN partner p USING (train_id) WHERE t.rank <= 3)
+"""
+
+
+def with_text(body: str) -> str:
+    return "WITH " + TEXT_CTES + body
+
+
+ORACLE["q_tokens"] = with_text(""", tl AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM corpus)
+SELECT doc_id, CAST(unnest(generate_series(1, len(t))) AS BIGINT) AS pos, unnest(t) AS token FROM tl WHERE len(t) > 0""")
+
+ORACLE["q_term_counts"] = with_text("SELECT doc_id, term, CAST(tf AS BIGINT) AS tf FROM tc")
+
+ORACLE["q_idf"] = with_text("SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
+
+ORACLE["q_tfidf_vectors"] = with_text("SELECT doc_id, term, round(weight, 6) AS weight FROM vec")
+
+ORACLE["q_cosine_pairs"] = with_text("""
+SELECT test_id, train_id, round(sim, 6) AS similarity FROM test_train WHERE round(sim, 9) >= 0.5""")
+
+ORACLE["q_topk_similar"] = with_text("""
+SELECT test_id, train_id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similarity FROM topk WHERE rank <= 8""")
+
+ORACLE["q_nearest_opposite"] = with_text("SELECT train_id, partner_id, round(sim, 6) AS similarity FROM partner")
+
+ORACLE["q_balanced_retrieval"] = with_text("""
+SELECT b.test_id, CAST(b.slot AS INTEGER) AS slot, b.kind, b.train_id, b.anchor_id, c.label, round(b.sim, 6) AS similarity
+FROM balanced b JOIN corpus c ON c.doc_id = b.train_id""")
+
+ORACLE["q_balanced_random_exemplars"] = with_text("""
+SELECT label, CAST(pick AS INTEGER) AS pick, doc_id FROM (
+  SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY md5('exemplars' || CAST(doc_id AS VARCHAR)), doc_id) AS pick
+  FROM corpus WHERE split = 'train') WHERE pick <= 3""")
+
+ORACLE["q_dense_topk"] = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS nrm FROM e),
+pairs AS (
+  SELECT q.vec_id AS query_id, b.vec_id AS base_id,
+         coalesce(list_dot_product(q.v, b.v) / nullif(q.nrm * b.nrm, 0), 0) AS sim
+  FROM u q JOIN u b ON q.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, base_id) AS rank FROM pairs)
+SELECT query_id, base_id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 5"""

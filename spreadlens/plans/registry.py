@@ -96,3 +96,98 @@ def q_propagation_features(spark, sf_dir):
         r6("median_retweet_time").alias("median_retweet_time"),
         "graph_status",
     )
+
+
+# ------------------------------------------------------------------------------------------------ text retrieval
+TOPK = 8            # largest k of the shots sweep (1..8); one retrieval serves every cell
+BALANCED_K = 3      # similar rows of the balanced run (3 similar + 3 contrastive)
+DENSE_K = 5
+EXEMPLAR_SEED = "exemplars"
+EXEMPLARS_PER_LABEL = 3
+SIMILARITY_JOIN_MIN = 0.5
+
+
+def _retrieval(spark, sf_dir):
+    from ..operators import retrieval
+    return retrieval.build(fixtures.corpus(spark, sf_dir))
+
+
+@register
+def q_tokens(spark, sf_dir):
+    from ..functions.text import tokens
+    c = fixtures.corpus(spark, sf_dir)
+    return c.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token")).select(
+        "doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "token")
+
+
+@register
+def q_term_counts(spark, sf_dir):
+    from ..operators import tfidf
+    return tfidf.term_counts(fixtures.corpus(spark, sf_dir))
+
+
+@register
+def q_idf(spark, sf_dir):
+    r = _retrieval(spark, sf_dir)
+    return r.model.idf.select("term", "df", r6("idf").alias("idf"))
+
+
+@register
+def q_tfidf_vectors(spark, sf_dir):
+    r = _retrieval(spark, sf_dir)
+    return r.train_vecs.unionByName(r.test_vecs).select("doc_id", "term", r6("weight").alias("weight"))
+
+
+@register
+def q_cosine_pairs(spark, sf_dir):
+    from ..operators import knn
+    r = _retrieval(spark, sf_dir)
+    pairs = knn.similarity_join(r.test, r.train, SIMILARITY_JOIN_MIN, query_vecs=r.test_vecs, base_vecs=r.train_vecs)
+    return pairs.select(F.col("qid").alias("test_id"), F.col("bid").alias("train_id"), r6("sim").alias("similarity"))
+
+
+@register
+def q_topk_similar(spark, sf_dir):
+    from ..operators import retrieval
+    top = retrieval.topk_similar(_retrieval(spark, sf_dir), TOPK)
+    return top.select("test_id", "train_id", "rank", r6("similarity").alias("similarity"))
+
+
+@register
+def q_nearest_opposite(spark, sf_dir):
+    from ..operators import retrieval
+    p = retrieval.nearest_opposite(_retrieval(spark, sf_dir))
+    return p.select("train_id", "partner_id", r6("similarity").alias("similarity"))
+
+
+def balanced_retrieval(spark, sf_dir, k=BALANCED_K):
+    from ..operators import retrieval
+    r = _retrieval(spark, sf_dir)
+    b = retrieval.balanced(retrieval.topk_similar(r, k), retrieval.nearest_opposite(r), k)
+    return r, b
+
+
+@register
+def q_balanced_retrieval(spark, sf_dir):
+    r, b = balanced_retrieval(spark, sf_dir)
+    lab = r.train.select(F.col("doc_id").alias("train_id"), "label")
+    return b.join(lab, "train_id").select(
+        "test_id", "slot", "kind", "train_id", "anchor_id", "label", r6("similarity").alias("similarity"))
+
+
+@register
+def q_balanced_random_exemplars(spark, sf_dir):
+    from ..operators import retrieval
+    train = fixtures.corpus(spark, sf_dir).filter(F.col("split") == "train")
+    return retrieval.stratified_exemplars(train, EXEMPLARS_PER_LABEL, EXEMPLAR_SEED)
+
+
+@register
+def q_dense_topk(spark, sf_dir):
+    from ..operators import knn
+    emb = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = emb.filter(F.col("vec_id") % 5 == 0)
+    base = emb.filter(F.col("vec_id") % 5 != 0)
+    top = knn.exact_topk(queries, base, DENSE_K, id_col="vec_id", vec_col="embedding")
+    return top.select(F.col("qid").alias("query_id"), F.col("bid").alias("base_id"), "rank",
+                      r6("sim").alias("similarity"))
