@@ -124,11 +124,13 @@ FROM features""", eigen=True)
 
 
 # ---------------------------------------------------------------- text corpus, TF-IDF, retrieval
-TEXT_CTES = r"""
+CORPUS_CTE = """
 corpus AS (
   SELECT d.doc_id, coalesce(d.text, '') AS text, CASE WHEN l.toxic = 1 THEN 'fake' ELSE 'real' END AS label,
          CASE WHEN d.doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split
-  FROM documents d JOIN labels l USING (doc_id)),
+  FROM documents d JOIN labels l USING (doc_id)),"""
+
+TEXT_CTES = r"""
 toks AS (SELECT doc_id, split, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM corpus),
 tc AS (SELECT doc_id, split, term, count(*) AS tf FROM toks GROUP BY doc_id, split, term),
 idf AS (
@@ -163,8 +165,8 @@ balanced AS (
 """
 
 
-def with_text(body: str) -> str:
-    return "WITH " + TEXT_CTES + body
+def with_text(body: str, corpus: str = CORPUS_CTE, prefix: str = "WITH ") -> str:
+    return prefix + corpus + TEXT_CTES + body
 
 
 ORACLE["q_tokens"] = with_text(""", tl AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM corpus)
@@ -202,3 +204,236 @@ pairs AS (
   FROM u q JOIN u b ON q.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, base_id) AS rank FROM pairs)
 SELECT query_id, base_id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 5"""
+
+
+# ---------------------------------------------------------------- answers
+WS = sql_str_literal(WHITESPACE)
+NORM = f"lower(trim(text, {WS}))"
+ORACLE["q_normalize_answer"] = f"""
+SELECT conv_id, turn, {NORM} AS answer FROM conversations WHERE role = 'assistant'"""
+
+
+def sql_extract_label(x: str) -> str:
+    return (f"(CASE WHEN contains(lower({x}), 'fake') OR lower({x}) = 'yes' THEN 'fake' "
+            f"WHEN contains(lower({x}), 'real') OR lower({x}) = 'no' THEN 'real' ELSE lower({x}) END)")
+
+
+ORACLE["q_extract_label"] = f"""
+SELECT conv_id, turn, {sql_extract_label(NORM)} AS label FROM conversations WHERE role = 'assistant'"""
+
+
+# ---------------------------------------------------------------- prompts (string-equal to the Spark assembly)
+def _prompt_sql():
+    from . import prompts as P
+    nl, sep = "chr(10)", "(chr(10) || chr(10))"
+    lit = sql_str_literal
+
+    def cap(x):
+        return f"(upper(substr({x}, 1, 1)) || lower(substr({x}, 2)))"
+
+    def num(x):
+        return f"coalesce(format('{{:.2f}}', {x}), {lit(P.MISSING)})"
+
+    def metric_lines(prefix):
+        return (f"'Mean degree centrality: ' || {num(prefix + 'avg_degree_centrality')} || {nl} || "
+                f"'Eigenvector centrality: ' || {num(prefix + 'eigenvector_centrality')} || {nl} || "
+                f"'Median repost delay: ' || {num(prefix + 'median_retweet_time')} || ' seconds'")
+
+    def block(with_metrics, with_kind):
+        head = "'Example ' || CAST(slot AS VARCHAR) || " + ("' (' || kind || ')' || " if with_kind else "") + "':'"
+        body = f"{head} || {nl} || 'Post: \"' || coalesce(ex_text, '') || '\"' || {nl} || "
+        if with_metrics:
+            body += f"{metric_lines('ex_')} || {nl} || "
+        return body + f"'Label: ' || {cap('ex_label')}"
+
+    def system(t, with_metrics, with_kind):
+        return (f"{lit(t.intro)} || {sep} || {lit(t.header)} || {sep} || "
+                f"string_agg({block(with_metrics, with_kind)}, {sep} ORDER BY slot) || {sep} || {lit(t.closing)}")
+
+    def user(t, with_metrics, prefix="t."):
+        s = f"'Post: ' || coalesce({prefix}text, '')"
+        if with_metrics:
+            s += f" || {nl} || " + metric_lines(prefix)
+        return s + f" || {sep} || {lit(t.answer)}"
+
+    return P, system, user
+
+
+_P, _system, _user = _prompt_sql()
+
+GRAPH_CORPUS_CTE = """
+corpus AS (
+  SELECT graph_idx AS doc_id, coalesce(text, '') AS text, label,
+         CASE WHEN graph_idx % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+         avg_degree_centrality, eigenvector_centrality, median_retweet_time
+  FROM features),"""
+
+
+def with_graph_text(body: str) -> str:
+    return ("WITH RECURSIVE " + GRAPH_CTES + "," + EIGEN_CTES + FEATURES_SQL + "," + GRAPH_CORPUS_CTE
+            + TEXT_CTES + body)
+
+
+TOPK_EX = """
+, ex AS (
+  SELECT t.test_id AS doc_id, t.rank AS slot, c.text AS ex_text, c.label AS ex_label, t.sim AS ex_similarity
+  FROM topk t JOIN corpus c ON c.doc_id = t.train_id WHERE t.rank <= 3)"""
+
+ORACLE["q_prompts_topk"] = with_text(TOPK_EX + f"""
+, sys AS (SELECT doc_id, {_system(_P.TEXT_ONLY, False, False)} AS system_prompt FROM ex GROUP BY doc_id)
+SELECT t.doc_id, 3 AS num_shots, s.system_prompt, {_user(_P.TEXT_ONLY, False)} AS user_prompt
+FROM corpus t JOIN sys s USING (doc_id) WHERE t.split = 'test'""")
+
+BAL_EX = """
+, ex AS (
+  SELECT b.test_id AS doc_id, b.slot, b.kind, c.text AS ex_text, c.label AS ex_label,
+         c.avg_degree_centrality AS ex_avg_degree_centrality, c.eigenvector_centrality AS ex_eigenvector_centrality,
+         c.median_retweet_time AS ex_median_retweet_time, b.sim AS ex_similarity
+  FROM balanced b JOIN corpus c ON c.doc_id = b.train_id)"""
+
+ORACLE["q_prompts_balanced"] = with_graph_text(BAL_EX + f"""
+, sys AS (SELECT doc_id, {_system(_P.WITH_GRAPH, True, True)} AS system_prompt FROM ex GROUP BY doc_id)
+SELECT t.doc_id, 3 AS num_shots, s.system_prompt, {_user(_P.WITH_GRAPH, True)} AS user_prompt
+FROM corpus t JOIN sys s USING (doc_id) WHERE t.split = 'test'""")
+
+FIXED_EX = """
+, picks AS (
+  SELECT label, doc_id,
+         row_number() OVER (PARTITION BY label ORDER BY md5('exemplars' || CAST(doc_id AS VARCHAR)), doc_id) AS pick
+  FROM corpus WHERE split = 'train'),
+ex AS (
+  SELECT (CASE WHEN p.label = 'fake' THEN 0 ELSE 1 END) * 3 + p.pick AS slot, c.text AS ex_text, c.label AS ex_label,
+         c.avg_degree_centrality AS ex_avg_degree_centrality, c.eigenvector_centrality AS ex_eigenvector_centrality,
+         c.median_retweet_time AS ex_median_retweet_time
+  FROM picks p JOIN corpus c USING (doc_id) WHERE p.pick <= 3)"""
+
+ORACLE["q_prompts_fixed"] = with_graph_text(FIXED_EX + f"""
+, sys AS (SELECT {_system(_P.WITH_GRAPH, True, False)} AS system_prompt FROM ex)
+SELECT t.doc_id, 6 AS num_shots, sys.system_prompt, {_user(_P.WITH_GRAPH, True)} AS user_prompt
+FROM corpus t JOIN sys ON TRUE WHERE t.split = 'test'""")
+
+
+# ---------------------------------------------------------------- offline stub scoring (similarity-weighted vote)
+def vote_sql(src: str, keys: str) -> str:
+    return f"""
+, votes AS (
+  SELECT {keys}, sum(CASE WHEN lower(ex_label) = 'fake' THEN ex_similarity ELSE 0 END) AS fv,
+         sum(CASE WHEN lower(ex_label) = 'real' THEN ex_similarity ELSE 0 END) AS rv
+  FROM {src} GROUP BY {keys}),
+preds AS (
+  SELECT {keys}, CASE WHEN round(coalesce(fv, 0), 9) > round(coalesce(rv, 0), 9) THEN 'Fake' ELSE 'Real' END || chr(10)
+         AS raw_answer FROM votes)"""
+
+
+ORACLE["q_scored"] = with_text(TOPK_EX + vote_sql("ex", "doc_id") + """
+SELECT doc_id, 'topk' AS strategy, 'llama3.1:latest' AS model, 3 AS num_shots, raw_answer,
+       lower(trim(raw_answer, chr(10))) AS prediction FROM preds""")
+
+ORACLE["q_scored_balanced"] = with_graph_text(BAL_EX + vote_sql("ex", "doc_id") + """
+SELECT doc_id, 'balanced' AS strategy, 'llama3.1:70b' AS model, 3 AS num_shots, raw_answer,
+       lower(trim(raw_answer, chr(10))) AS prediction FROM preds""")
+
+ORACLE["q_scored_fixed"] = with_graph_text("""
+SELECT doc_id, 'fixed' AS strategy, 'llama3.1:70b' AS model, 6 AS num_shots, 'Real' || chr(10) AS raw_answer,
+       'real' AS prediction FROM corpus WHERE split = 'test'""")
+
+ORACLE["q_model_routing"] = with_text("""
+SELECT c.doc_id, m.model_size, m.model FROM corpus c
+JOIN (VALUES ('1b', 'llama3.2:1b'), ('3b', 'llama3.2:latest'), ('27b', 'gemma2:27b')) m(model_size, model) ON TRUE
+WHERE c.split = 'test'""")
+
+ORACLE["q_sweep_plan"] = with_text("""
+SELECT c.doc_id, 3 AS num_shots, CAST(t.temperature AS DOUBLE) AS temperature, 'llama3.1:latest' AS model FROM corpus c
+JOIN (VALUES (0.0), (0.2), (0.4), (0.6), (0.8), (1.0)) t(temperature) ON TRUE WHERE c.split = 'test'""")
+
+
+# ---------------------------------------------------------------- evaluation
+TOPK_PREDS = TOPK_EX + vote_sql("ex", "doc_id") + """
+, pairs AS (
+  SELECT t.doc_id, t.label, lower(trim(p.raw_answer, chr(10))) AS prediction
+  FROM corpus t JOIN preds p USING (doc_id) WHERE t.split = 'test')"""
+
+
+def metrics_sql(pairs: str, group: list[str], lenient: bool = False) -> str:
+    g = ", ".join(group)
+    gsel = (g + ", ") if g else ""
+    gby = f" GROUP BY {g}" if g else ""
+    if lenient:
+        pred = sql_extract_label("prediction")
+        yt, yp = "(label IN ('fake', 'yes'))", f"({pred} IN ('fake', 'yes'))"
+        parsed = f"coalesce({pred} IN ('fake', 'real'), false)"
+    else:
+        yt, yp = "(label = 'fake')", "(prediction = 'fake')"
+        parsed = "coalesce(prediction IN ('fake', 'real'), false)"
+    yt, yp = f"coalesce({yt}, false)", f"coalesce({yp}, false)"
+    return f"""
+, cm AS (
+  SELECT {gsel}count(*) AS n, count_if(NOT {yt} AND NOT {yp}) AS tn, count_if(NOT {yt} AND {yp}) AS fp,
+         count_if({yt} AND NOT {yp}) AS fn, count_if({yt} AND {yp}) AS tp, count_if(NOT {parsed}) AS unparsed
+  FROM {pairs}{gby}),
+mx AS (
+  SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS tpr_, CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END AS fpr_
+  FROM (SELECT {gsel}CAST(n AS DOUBLE) AS n, CAST(tn AS DOUBLE) AS tn, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn,
+               CAST(tp AS DOUBLE) AS tp, unparsed FROM cm))
+SELECT {gsel}CAST(n AS BIGINT) AS n, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+       CAST(tp AS BIGINT) AS tp, CAST(unparsed AS BIGINT) AS unparsed,
+       round(CASE WHEN n > 0 THEN (tp + tn) / n END, 6) AS accuracy,
+       round(coalesce(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 0), 6) AS precision,
+       round(coalesce(tpr_, 0), 6) AS recall, round(tpr_, 6) AS tpr,
+       round(coalesce(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 0), 6) AS f1,
+       round(CASE WHEN tp + fn > 0 AND fp + tn > 0 THEN (tpr_ + 1 - fpr_) / 2 END, 6) AS roc_auc,
+       round(fpr_, 6) AS fpr
+FROM mx"""
+
+
+ORACLE["q_eval_pairs_strict"] = with_text(TOPK_PREDS + "\nSELECT doc_id, label, prediction FROM pairs")
+ORACLE["q_eval_pairs_inner"] = ORACLE["q_eval_pairs_strict"]
+ORACLE["q_eval_common"] = with_text(TOPK_PREDS + f"\nSELECT doc_id, label, {sql_extract_label('prediction')} AS prediction FROM pairs")
+
+ORACLE["q_binarize_strict"] = with_text(TOPK_PREDS + """
+SELECT doc_id, label, prediction, CAST(coalesce(label = 'fake', false) AS INTEGER) AS y_true,
+       CAST(coalesce(prediction = 'fake', false) AS INTEGER) AS y_pred FROM pairs""")
+
+ORACLE["q_binarize_lenient"] = with_text(TOPK_PREDS + f"""
+SELECT doc_id, label, p AS prediction, CAST(coalesce(label IN ('fake', 'yes'), false) AS INTEGER) AS y_true,
+       CAST(coalesce(p IN ('fake', 'yes'), false) AS INTEGER) AS y_pred
+FROM (SELECT doc_id, label, {sql_extract_label('prediction')} AS p FROM pairs)""")
+
+ORACLE["q_confusion"] = with_text(TOPK_PREDS + """
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(label <> 'fake' AND prediction <> 'fake') AS BIGINT) AS tn,
+       CAST(count_if(label <> 'fake' AND prediction = 'fake') AS BIGINT) AS fp,
+       CAST(count_if(label = 'fake' AND prediction <> 'fake') AS BIGINT) AS fn,
+       CAST(count_if(label = 'fake' AND prediction = 'fake') AS BIGINT) AS tp FROM pairs""")
+
+ORACLE["q_metrics"] = with_text(TOPK_PREDS + metrics_sql("pairs", []))
+ORACLE["q_metrics_lenient"] = with_text(TOPK_PREDS + metrics_sql("pairs", [], lenient=True))
+
+ORACLE["q_metrics_report"] = with_text(TOPK_PREDS + metrics_sql("pairs", []).replace("SELECT CAST(n AS BIGINT)", """
+, fin AS (SELECT CAST(n AS BIGINT)""", 1) + """)
+SELECT metric, coalesce(format('{:.4f}', value), 'nan') AS value_text FROM (
+  SELECT 'accuracy' AS metric, accuracy AS value FROM fin UNION ALL SELECT 'precision', precision FROM fin
+  UNION ALL SELECT 'recall', recall FROM fin UNION ALL SELECT 'f1', f1 FROM fin UNION ALL SELECT 'roc_auc', roc_auc FROM fin)""")
+
+ORACLE["q_metrics_strict"] = with_graph_text(BAL_EX + vote_sql("ex", "doc_id") + """
+, pairs AS (
+  SELECT t.doc_id, t.label, lower(trim(p.raw_answer, chr(10))) AS prediction, 'balanced' AS strategy, 3 AS num_shots
+  FROM corpus t JOIN preds p USING (doc_id) WHERE t.split = 'test')""" + metrics_sql("pairs", ["strategy", "num_shots"]))
+
+SWEEP_EX = """
+, ks AS (SELECT unnest(range(1, 9)) AS num_shots),
+ex AS (
+  SELECT t.test_id AS doc_id, ks.num_shots, c.label AS ex_label, t.sim AS ex_similarity
+  FROM topk t JOIN ks ON t.rank <= ks.num_shots JOIN corpus c ON c.doc_id = t.train_id)"""
+
+ORACLE["q_metrics_by_num_shots"] = with_text(SWEEP_EX + vote_sql("ex", "doc_id, num_shots") + """
+, pairs AS (
+  SELECT t.doc_id, p.num_shots, t.label, lower(trim(p.raw_answer, chr(10))) AS prediction
+  FROM corpus t JOIN preds p USING (doc_id) WHERE t.split = 'test')""" + metrics_sql("pairs", ["num_shots"]))
+
+ORACLE["q_metrics_by_temperature"] = with_text(TOPK_PREDS + """
+, grid AS (SELECT p.*, CAST(t.temperature AS DOUBLE) AS temperature FROM pairs p
+  JOIN (VALUES (0.0), (0.2), (0.4), (0.6), (0.8), (1.0)) t(temperature) ON TRUE)""" + metrics_sql("grid", ["temperature"]))
+
+ORACLE["q_metrics_by_model"] = with_text(TOPK_PREDS + """
+, grid AS (SELECT p.*, m.model FROM pairs p
+  JOIN (VALUES ('llama3.2:1b'), ('llama3.2:latest'), ('gemma2:27b')) m(model) ON TRUE)""" + metrics_sql("grid", ["model"]))

@@ -191,3 +191,215 @@ def q_dense_topk(spark, sf_dir):
     top = knn.exact_topk(queries, base, DENSE_K, id_col="vec_id", vec_col="embedding")
     return top.select(F.col("qid").alias("query_id"), F.col("bid").alias("base_id"), "rank",
                       r6("sim").alias("similarity"))
+
+
+# ------------------------------------------------------------------------------------------------ answers & labels
+@register
+def q_normalize_answer(spark, sf_dir):
+    from ..functions.labels import normalize_answer
+    conv = fixtures.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return conv.select("conv_id", "turn", normalize_answer(F.col("text")).alias("answer"))
+
+
+@register
+def q_extract_label(spark, sf_dir):
+    from ..functions.labels import extract_label, normalize_answer
+    conv = fixtures.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return conv.select("conv_id", "turn", extract_label(normalize_answer(F.col("text"))).alias("label"))
+
+
+# ------------------------------------------------------------------------------------------------ prompts & scoring
+def _topk_run(spark, sf_dir, shots, temperatures=(0.0,), sizes=("8b",)):
+    from ..operators import retrieval
+    from . import sweeps
+    r = _retrieval(spark, sf_dir)
+    top = retrieval.topk_similar(r, max(shots))
+    req = sweeps.topk_requests(r, top, list(shots), list(temperatures), list(sizes))
+    return r, req
+
+
+def graph_corpus(spark, sf_dir) -> DataFrame:
+    """Daily propagation feature rows as a labelled corpus: doc_id = graph index, split by graph index."""
+    f = daily_features(spark, sf_dir)
+    return f.select(F.col("graph_idx").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
+                    "label", F.when(F.col("graph_idx") % 5 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
+                    "avg_degree_centrality", "eigenvector_centrality", "median_retweet_time")
+
+
+@register
+def q_prompts_topk(spark, sf_dir):
+    _, req = _topk_run(spark, sf_dir, [BALANCED_K])
+    return req.select("doc_id", "num_shots", "system_prompt", "user_prompt")
+
+
+@register
+def q_prompts_balanced(spark, sf_dir):
+    from . import sweeps
+    req, _ = sweeps.balanced_requests(graph_corpus(spark, sf_dir), BALANCED_K)
+    return req.select("doc_id", "num_shots", "system_prompt", "user_prompt")
+
+
+@register
+def q_prompts_fixed(spark, sf_dir):
+    from . import sweeps
+    req, _ = sweeps.fixed_requests(graph_corpus(spark, sf_dir))
+    return req.select("doc_id", "num_shots", "system_prompt", "user_prompt")
+
+
+def scored_topk(spark, sf_dir):
+    from . import scoring
+    r, req = _topk_run(spark, sf_dir, [BALANCED_K])
+    preds = scoring.score(req, scoring.vote_stub, ["doc_id", "strategy", "model", "num_shots", "temperature",
+                                                   "replicate"])
+    return r, preds
+
+
+@register
+def q_scored(spark, sf_dir):
+    _, preds = scored_topk(spark, sf_dir)
+    return preds.select("doc_id", "strategy", "model", "num_shots", "raw_answer", "prediction")
+
+
+@register
+def q_scored_balanced(spark, sf_dir):
+    from . import scoring, sweeps
+    req, _ = sweeps.balanced_requests(graph_corpus(spark, sf_dir), BALANCED_K)
+    preds = scoring.score(req, scoring.vote_stub, ["doc_id", *sweeps.RUN_COLS])
+    return preds.select("doc_id", "strategy", "model", "num_shots", "raw_answer", "prediction")
+
+
+@register
+def q_scored_fixed(spark, sf_dir):
+    from . import scoring, sweeps
+    req, _ = sweeps.fixed_requests(graph_corpus(spark, sf_dir))
+    preds = scoring.score(req, scoring.vote_stub, ["doc_id", *sweeps.RUN_COLS])
+    return preds.select("doc_id", "strategy", "model", "num_shots", "raw_answer", "prediction")
+
+
+@register
+def q_model_routing(spark, sf_dir):
+    from . import sweeps
+    test = fixtures.corpus(spark, sf_dir).filter(F.col("split") == "test").select("doc_id")
+    g = sweeps.grid(test, [0.0], sweeps.MODEL_SIZE_GRID)
+    return g.select("doc_id", "model_size", "model")
+
+
+@register
+def q_sweep_plan(spark, sf_dir):
+    from . import sweeps
+    test = fixtures.corpus(spark, sf_dir).filter(F.col("split") == "test").select("doc_id")
+    g = sweeps.grid(test.withColumn("num_shots", F.lit(BALANCED_K)), sweeps.TEMPERATURE_GRID, ["8b"])
+    return g.select("doc_id", "num_shots", "temperature", "model")
+
+
+# ------------------------------------------------------------------------------------------------ evaluation
+def _truth(spark, sf_dir):
+    return fixtures.corpus(spark, sf_dir).filter(F.col("split") == "test").select("doc_id", "label")
+
+
+def _preds(spark, sf_dir):
+    _, p = scored_topk(spark, sf_dir)
+    return p.select("doc_id", "prediction")
+
+
+@register
+def q_binarize_strict(spark, sf_dir):
+    from ..operators import evaluation
+    pairs = evaluation.eval_pairs_inner(_preds(spark, sf_dir), _truth(spark, sf_dir), "doc_id")
+    return evaluation.binarized(pairs, "strict").select("doc_id", "label", "prediction", "y_true", "y_pred")
+
+
+@register
+def q_binarize_lenient(spark, sf_dir):
+    from ..operators import evaluation
+    pairs = evaluation.eval_common(_preds(spark, sf_dir), _truth(spark, sf_dir), "doc_id")
+    return evaluation.binarized(pairs, "lenient").select("doc_id", "label", "prediction", "y_true", "y_pred")
+
+
+@register
+def q_eval_pairs_strict(spark, sf_dir):
+    from ..operators import evaluation
+    return evaluation.eval_pairs_strict(_preds(spark, sf_dir), _truth(spark, sf_dir), "doc_id").select(
+        "doc_id", "label", "prediction")
+
+
+@register
+def q_eval_pairs_inner(spark, sf_dir):
+    from ..operators import evaluation
+    return evaluation.eval_pairs_inner(_preds(spark, sf_dir), _truth(spark, sf_dir), "doc_id").select(
+        "doc_id", "label", "prediction")
+
+
+@register
+def q_eval_common(spark, sf_dir):
+    from ..operators import evaluation
+    return evaluation.eval_common(_preds(spark, sf_dir), _truth(spark, sf_dir), "doc_id").select(
+        "doc_id", "label", "prediction")
+
+
+METRIC_OUT = ["accuracy", "precision", "recall", "tpr", "f1", "roc_auc", "fpr"]
+
+
+def _metric_select(m: DataFrame, group_cols: list[str]) -> DataFrame:
+    return m.select(*group_cols, "n", "tn", "fp", "fn", "tp", "unparsed", *[r6(c).alias(c) for c in METRIC_OUT])
+
+
+@register
+def q_confusion(spark, sf_dir):
+    from ..operators import evaluation
+    pairs = evaluation.eval_pairs_inner(_preds(spark, sf_dir), _truth(spark, sf_dir), "doc_id")
+    return evaluation.confusion(evaluation.binarized(pairs, "strict")).select("n", "tn", "fp", "fn", "tp")
+
+
+@register
+def q_metrics(spark, sf_dir):
+    from ..operators import evaluation
+    pairs = evaluation.eval_pairs_strict(_preds(spark, sf_dir), _truth(spark, sf_dir), "doc_id")
+    return _metric_select(evaluation.metrics(pairs, [], "strict"), [])
+
+
+@register
+def q_metrics_strict(spark, sf_dir):
+    from . import sweeps
+    req, truth = sweeps.balanced_requests(graph_corpus(spark, sf_dir), BALANCED_K)
+    _, m = sweeps.score_and_evaluate(req, truth)
+    return _metric_select(m, ["strategy", "num_shots"])
+
+
+@register
+def q_metrics_lenient(spark, sf_dir):
+    from ..operators import evaluation
+    pairs = evaluation.eval_common(_preds(spark, sf_dir), _truth(spark, sf_dir), "doc_id")
+    return _metric_select(evaluation.metrics(pairs, [], "lenient"), [])
+
+
+@register
+def q_metrics_report(spark, sf_dir):
+    from ..operators import evaluation
+    pairs = evaluation.eval_pairs_strict(_preds(spark, sf_dir), _truth(spark, sf_dir), "doc_id")
+    return evaluation.metrics_report(evaluation.metrics(pairs, [], "strict"))
+
+
+def _sweep_metrics(spark, sf_dir, shots, temps, sizes, group):
+    from . import sweeps
+    _, req = _topk_run(spark, sf_dir, shots, temps, sizes)
+    _, m = sweeps.score_and_evaluate(req, _truth(spark, sf_dir))
+    return _metric_select(m, group)
+
+
+@register
+def q_metrics_by_num_shots(spark, sf_dir):
+    from . import sweeps
+    return _sweep_metrics(spark, sf_dir, sweeps.SHOTS_GRID, [0.0], ["8b"], ["num_shots"])
+
+
+@register
+def q_metrics_by_temperature(spark, sf_dir):
+    from . import sweeps
+    return _sweep_metrics(spark, sf_dir, [BALANCED_K], sweeps.TEMPERATURE_GRID, ["8b"], ["temperature"])
+
+
+@register
+def q_metrics_by_model(spark, sf_dir):
+    from . import sweeps
+    return _sweep_metrics(spark, sf_dir, [BALANCED_K], [0.0], sweeps.MODEL_SIZE_GRID, ["model"])
