@@ -25,7 +25,9 @@ ROUND = 9
 HOT_FACTOR = 20          # a term goes to the dense product when its pair count * HOT_FACTOR >= cell size
 MAX_PAIRS_PER_CHUNK = 4_000_000
 
-CELL_SCHEMA = "qid long, bid long, sim double, skey double"
+
+def _cell_schema(qtype: str, btype: str) -> str:
+    return f"qid {qtype}, bid {btype}, sim double, skey double"
 
 
 def _block_counts(spark, n_q: int, n_b: int, q_block_rows: int, b_block_rows: int, min_cells: int | None):
@@ -53,6 +55,19 @@ def _select(s: np.ndarray, qids, bids, qlab, blab, k: int | None, min_sim: float
     return pd.DataFrame({"qid": qids[rows], "bid": bids[cols], "sim": s[rows, cols], "skey": key[rows, cols]})
 
 
+def _empty() -> pd.DataFrame:
+    obj, num = pd.Series([], dtype=object), pd.Series([], dtype=np.float64)
+    return pd.DataFrame({"qid": obj, "bid": obj.copy(), "sim": num, "skey": num.copy()})
+
+
+def _ids(col: pd.Series) -> np.ndarray:
+    """Ids as a plain numpy array (int64, or object for strings: Arrow-backed string columns would come back
+    as chunked arrays the output conversion does not accept)."""
+    if pd.api.types.is_integer_dtype(col.dtype):
+        return col.to_numpy(np.int64)
+    return np.asarray(col.astype(object).tolist(), dtype=object)
+
+
 def _sparse_sim(qrow, qc, wq, brow, bc, wb, nq, nb, nt):
     """Similarity matrix from postings (row index, term code, weight) of both sides."""
     s = np.zeros((nq, nb))
@@ -105,9 +120,9 @@ def _sparse_cell(k, min_sim, exclude_same_label):
         qd = qp[qp["term"].isna()]
         bd = bp[bp["term"].isna()].sort_values("id")
         if qd.empty or bd.empty:
-            return pd.DataFrame({"qid": [], "bid": [], "sim": [], "skey": []})
-        qids = qd["id"].to_numpy(np.int64)
-        bids = bd["id"].to_numpy(np.int64)
+            return _empty()
+        qids = _ids(qd["id"])
+        bids = _ids(bd["id"])
         qpost = qp[qp["term"].notna()]
         bpost = bp[bp["term"].notna()]
         codes, uniq = pd.factorize(pd.concat([qpost["term"], bpost["term"]], ignore_index=True))
@@ -132,24 +147,29 @@ def _dense_cell(k, min_sim, exclude_same_label):
 
     def cell(qp: pd.DataFrame, bp: pd.DataFrame) -> pd.DataFrame:
         if qp.empty or bp.empty:
-            return pd.DataFrame({"qid": [], "bid": [], "sim": [], "skey": []})
+            return _empty()
         bp = bp.sort_values("id")
         s = unit(qp["vec"].tolist()) @ unit(bp["vec"].tolist()).T
-        return _select(s, qp["id"].to_numpy(np.int64), bp["id"].to_numpy(np.int64),
+        return _select(s, _ids(qp["id"]), _ids(bp["id"]),
                        qp["label"].to_numpy(object), bp["label"].to_numpy(object), k, min_sim, exclude_same_label)
 
     return cell
 
 
+def _id_type(df: DataFrame, id_col: str) -> str:
+    return "string" if df.schema[id_col].dataType.simpleString() == "string" else "long"
+
+
 def _side(docs: DataFrame, vecs: DataFrame | None, id_col: str, label_col: str | None):
+    t = _id_type(docs, id_col)
     d = docs.select(
-        F.col(id_col).cast("long").alias("id"),
+        F.col(id_col).cast(t).alias("id"),
         (F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")).alias("label"),
     )
     if vecs is None:
         return d
     d = d.select("id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("weight"), "label")
-    v = vecs.select(F.col("doc_id").cast("long").alias("id"), "term", "weight",
+    v = vecs.select(F.col("doc_id").cast(t).alias("id"), "term", "weight",
                     F.lit(None).cast("string").alias("label"))
     return d.unionByName(v)
 
@@ -161,9 +181,9 @@ def _run(query_docs, query_vecs, base_docs, base_vecs, *, k=None, min_sim=None,
     n_b = base_docs.count()
     bq, bb = _block_counts(spark, n_q, n_b, q_block_rows, b_block_rows, min_cells)
     if vec_col:
-        q = query_docs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
+        q = query_docs.select(F.col(id_col).cast(_id_type(query_docs, id_col)).alias("id"), F.col(vec_col).alias("vec"),
                               (F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")).alias("label"))
-        b = base_docs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
+        b = base_docs.select(F.col(id_col).cast(_id_type(base_docs, id_col)).alias("id"), F.col(vec_col).alias("vec"),
                              (F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")).alias("label"))
         cell = _dense_cell(k, min_sim, exclude_same_label)
     else:
@@ -174,7 +194,8 @@ def _run(query_docs, query_vecs, base_docs, base_vecs, *, k=None, min_sim=None,
         "bb", F.explode(F.sequence(F.lit(0), F.lit(bb - 1))))
     b = b.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(bb)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-    return q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(cell, CELL_SCHEMA)
+    schema = _cell_schema(_id_type(query_docs, id_col), _id_type(base_docs, id_col))
+    return q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(cell, schema)
 
 
 def exact_topk(query_docs: DataFrame, base_docs: DataFrame, k: int, *, query_vecs: DataFrame | None = None,

@@ -437,3 +437,31 @@ ORACLE["q_metrics_by_temperature"] = with_text(TOPK_PREDS + """
 ORACLE["q_metrics_by_model"] = with_text(TOPK_PREDS + """
 , grid AS (SELECT p.*, m.model FROM pairs p
   JOIN (VALUES ('llama3.2:1b'), ('llama3.2:latest'), ('gemma2:27b')) m(model) ON TRUE)""" + metrics_sql("grid", ["model"]))
+
+
+# ---------------------------------------------------------------- record sources, prediction stores, streaming
+ORACLE["q_propagation_scan"] = with_graph("""
+SELECT p.propagation_id, p.label, CAST(e.n AS BIGINT) AS n_nodes, CAST(coalesce(r.m, 0) AS BIGINT) AS n_edges
+FROM props p JOIN (SELECT propagation_id, count(*) AS n FROM pe GROUP BY propagation_id) e USING (propagation_id)
+LEFT JOIN (SELECT propagation_id, count(*) AS m FROM raw_edges GROUP BY propagation_id) r USING (propagation_id)""")
+
+ORACLE["q_corpus_scan"] = with_graph("SELECT propagation_id, text, label FROM props")
+ORACLE["q_true_labels"] = with_graph("SELECT propagation_id, label FROM props")
+ORACLE["q_root_text"] = with_graph("SELECT propagation_id, text FROM props")
+ORACLE["q_retweet_delays"] = with_graph("""
+SELECT propagation_id, CAST(pos AS BIGINT) AS pos, round(delay, 6) AS delay FROM pe WHERE pos >= 1""")
+ORACLE["q_record_features"] = ORACLE["q_propagation_features"]
+
+ORACLE["q_predictions_scan"] = with_text(TOPK_PREDS + """
+SELECT CAST(doc_id AS VARCHAR) AS item_id, prediction FROM pairs""")
+ORACLE["q_predicted_labels"] = with_text(TOPK_PREDS + f"""
+SELECT CAST(doc_id AS VARCHAR) AS item_id, {sql_extract_label('prediction')} AS label FROM pairs""")
+ORACLE["q_predictions_dedup"] = with_text(TOPK_PREDS + """
+SELECT doc_id, 'topk' AS strategy, 'llama3.1:latest' AS model, 3 AS num_shots, prediction, CAST(1 AS BIGINT) AS batch_id
+FROM pairs""")
+ORACLE["q_pending"] = with_text("""
+SELECT c.doc_id, k.num_shots FROM corpus c JOIN (SELECT CAST(unnest(range(5, 9)) AS INTEGER) AS num_shots) k ON TRUE
+WHERE c.split = 'test'""")
+ORACLE["q_incremental_score"] = with_graph_text(BAL_EX + vote_sql("ex", "doc_id") + """
+SELECT 'prop_' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || '.json' AS propagation_id, 'balanced' AS strategy,
+       'llama3.1:70b' AS model, 3 AS num_shots, lower(trim(raw_answer, chr(10))) AS prediction FROM preds""")

@@ -403,3 +403,125 @@ def q_metrics_by_temperature(spark, sf_dir):
 def q_metrics_by_model(spark, sf_dir):
     from . import sweeps
     return _sweep_metrics(spark, sf_dir, [BALANCED_K], [0.0], sweeps.MODEL_SIZE_GRID, ["model"])
+
+
+# ------------------------------------------------------------------------------------------------ sources & stores
+def _records_path(spark, sf_dir, test_only=False):
+    from ..session import scratch_path
+    from ..sources import propagation_json
+    ev = fixtures.graph_events(spark, sf_dir, "day")
+    rec = fixtures.propagation_records(spark, sf_dir, ev, "chain")
+    if test_only:
+        rec = rec.join(ev.filter("pos = 0").select("propagation_id", "graph_idx"), "propagation_id").filter(
+            F.col("graph_idx") % 5 == 0).drop("graph_idx")
+    path = scratch_path(spark, "records")
+    propagation_json.write_lines(rec, path)
+    return path
+
+
+def _records(spark, sf_dir):
+    from ..sources import propagation_json
+    return propagation_json.read(spark, _records_path(spark, sf_dir), layout="lines")
+
+
+@register
+def q_propagation_scan(spark, sf_dir):
+    rec = _records(spark, sf_dir)
+    return rec.select("propagation_id", "label", F.size("nodes").cast("long").alias("n_nodes"),
+                      F.size("edges").cast("long").alias("n_edges"))
+
+
+@register
+def q_corpus_scan(spark, sf_dir):
+    from ..sources import propagation_json
+    return propagation_json.corpus_scan(spark, _records_path(spark, sf_dir), layout="lines")
+
+
+@register
+def q_true_labels(spark, sf_dir):
+    from ..sources import propagation_json
+    return propagation_json.true_labels(spark, _records_path(spark, sf_dir), layout="lines")
+
+
+@register
+def q_root_text(spark, sf_dir):
+    rec = _records(spark, sf_dir)
+    return rec.select("propagation_id", graph.root_text(rec).alias("text"))
+
+
+@register
+def q_retweet_delays(spark, sf_dir):
+    rec = _records(spark, sf_dir)
+    d = rec.select("propagation_id", F.posexplode(graph.retweet_delays(F.col("nodes"))).alias("pos", "delay"))
+    return d.select("propagation_id", (F.col("pos") + 1).cast("long").alias("pos"), r6("delay").alias("delay"))
+
+
+@register
+def q_record_features(spark, sf_dir):
+    f = features.record_features(_records(spark, sf_dir))
+    return f.select(
+        "propagation_id", "text", "label",
+        r6("avg_degree_centrality").alias("avg_degree_centrality"),
+        r6("eigenvector_centrality").alias("eigenvector_centrality"),
+        r6("median_retweet_time").alias("median_retweet_time"),
+        "graph_status",
+    )
+
+
+def _exported_predictions(spark, sf_dir):
+    from ..session import scratch_path
+    from . import scoring
+    path = scratch_path(spark, "predictions-json")
+    scoring.export_json_map(_preds(spark, sf_dir), path, "doc_id")
+    return scoring.import_json_lines(spark, path, "item_id")
+
+
+@register
+def q_predictions_scan(spark, sf_dir):
+    return _exported_predictions(spark, sf_dir)
+
+
+@register
+def q_predicted_labels(spark, sf_dir):
+    from ..functions.labels import extract_label
+    p = _exported_predictions(spark, sf_dir)
+    return p.select("item_id", extract_label(F.col("prediction")).alias("label"))
+
+
+@register
+def q_predictions_dedup(spark, sf_dir):
+    """Two appends of the same batch (an at-least-once replay) read back as one answer per key, latest batch."""
+    from ..session import scratch_path
+    from . import scoring, sweeps
+    _, req = _topk_run(spark, sf_dir, [BALANCED_K])
+    key = ["doc_id", *sweeps.RUN_COLS]
+    store = scratch_path(spark, "store")
+    scored = scoring.score(req, scoring.vote_stub, key).checkpoint(eager=True)
+    for batch in (0, 1):
+        scored.withColumn("batch_id", F.lit(batch).cast("long")).write.mode("append").parquet(store)
+    latest = scoring.latest(spark.read.parquet(store), key)
+    return latest.select("doc_id", "strategy", "model", "num_shots", "prediction", "batch_id")
+
+
+@register
+def q_pending(spark, sf_dir):
+    """Resume: a shots sweep whose cells k <= 4 are already answered leaves exactly the cells k = 5..8."""
+    from ..session import scratch_path
+    from . import scoring, sweeps
+    _, req = _topk_run(spark, sf_dir, sweeps.SHOTS_GRID)
+    key = ["doc_id", *sweeps.RUN_COLS]
+    store = scratch_path(spark, "store")
+    scoring.run_resumable(req.filter(F.col("num_shots") <= 4), store, scoring.vote_stub, key, batch_id=0)
+    todo = scoring.pending(req, scoring.read_store(spark, store), key)
+    return todo.select("doc_id", "num_shots")
+
+
+@register
+def q_incremental_score(spark, sf_dir):
+    from ..session import scratch_path
+    from ..streaming.incremental import incremental_score
+    input_dir = _records_path(spark, sf_dir, test_only=True)
+    train = graph_corpus(spark, sf_dir).filter(F.col("split") == "train")
+    out = incremental_score(spark, input_dir, scratch_path(spark, "stream-store"),
+                            scratch_path(spark, "stream-ckpt"), train, k=BALANCED_K, max_files_per_trigger=2)
+    return out.select("propagation_id", "strategy", "model", "num_shots", "prediction")

@@ -110,3 +110,18 @@ def import_json_map(spark: SparkSession, path: str, key: str = "propagation_id")
         return spark.createDataFrame([], f"{key} string, prediction string")
     m = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, "prediction"))
     return m
+
+
+def export_json_map(preds: DataFrame, path: str, key: str, buckets: int = 8) -> None:
+    """Write {key: prediction} JSON objects, one per line, one object per hash bucket of keys (the reference's
+    single result object split so no task or row has to hold all predictions)."""
+    b = preds.select(F.col(key).cast("string").alias("k"), "prediction").groupBy(
+        F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("_b")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "prediction")))).alias("value"))
+    b.select("value").write.mode("overwrite").text(path)
+
+
+def import_json_lines(spark: SparkSession, path: str, key: str = "propagation_id") -> DataFrame:
+    """Counterpart of ``export_json_map``: one JSON object per line -> (key, prediction)."""
+    raw = spark.read.text(path)
+    return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, "prediction"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, retrieval
+from ..operators import evaluation, knn, retrieval
 from ..operators.retrieval import Retrieval
 from . import prompts, scoring
 
@@ -72,23 +72,33 @@ def balanced_requests(features: DataFrame, k: int = 3, model_size: str = "70b",
 
     Returns (requests, truth)."""
     r = retrieval.build(features)
-    top = retrieval.topk_similar(r, k, **blocks)
-    sel = retrieval.balanced(top, retrieval.nearest_opposite(r, **blocks), k)
-    train = features.filter(F.col("split") == "train").select(
+    partners = retrieval.nearest_opposite(r, **blocks)
+    test = features.filter(F.col("split") == "test")
+    req = balanced_requests_for(r.train, test, r.train_vecs, r.test_vecs, partners, k, model_size, **blocks)
+    return req, test.select("doc_id", "label")
+
+
+def balanced_requests_for(train: DataFrame, test: DataFrame, train_vecs: DataFrame, test_vecs: DataFrame,
+                          partners: DataFrame, k: int = 3, model_size: str = "70b", **blocks) -> DataFrame:
+    """Requests of test rows against a fitted train index (train rows, their vectors, the partner table).
+
+    Used by the batch run and, per micro-batch, by the incremental (streaming) run."""
+    top = knn.exact_topk(test, train, k, query_vecs=test_vecs, base_vecs=train_vecs, **blocks).select(
+        F.col("qid").alias("test_id"), F.col("bid").alias("train_id"), "rank", F.col("sim").alias("similarity"))
+    sel = retrieval.balanced(top, partners, k)
+    ex_side = train.select(
         F.col("doc_id").alias("train_id"), F.col("text").alias("ex_text"), F.col("label").alias("ex_label"),
         *_feature_cols("ex_"))
-    ex = sel.join(train, "train_id").select(
+    ex = sel.join(ex_side, "train_id").select(
         F.col("test_id").alias("doc_id"), F.lit(k).alias("num_shots"), "slot", "kind", "ex_text", "ex_label",
         "ex_avg_degree_centrality", "ex_eigenvector_centrality", "ex_median_retweet_time",
         F.col("similarity").alias("ex_similarity"))
     system = prompts.system_prompts(ex, ["doc_id", "num_shots"], prompts.WITH_GRAPH, with_metrics=True,
                                     with_kind=True)
-    test = features.filter(F.col("split") == "test")
     req = test.join(system, "doc_id").select(
         "doc_id", "num_shots", "system_prompt", prompts.user_prompt(prompts.WITH_GRAPH, True).alias("user_prompt"),
         "exemplars")
-    req = grid(req.withColumn("strategy", F.lit("balanced")), [0.0], [model_size])
-    return req, test.select("doc_id", "label")
+    return grid(req.withColumn("strategy", F.lit("balanced")), [0.0], [model_size])
 
 
 def fixed_requests(features: DataFrame, per_label: int = 3, seed: str = "exemplars",
