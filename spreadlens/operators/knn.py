@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUND = 9
-HOT_FACTOR = 20          # a term goes to the dense product when its pair count * HOT_FACTOR >= cell size
+HOT_FACTOR = 400         # a term goes to the dense product when its pair count * HOT_FACTOR >= cell size
+MAX_DENSE_TERMS = 4096   # bound on the dense block's width (memory: rows x MAX_DENSE_TERMS doubles per side)
 MAX_PAIRS_PER_CHUNK = 4_000_000
 
 
@@ -77,6 +78,10 @@ def _sparse_sim(qrow, qc, wq, brow, bc, wb, nq, nb, nt):
     cb = np.bincount(bc, minlength=nt)
     pairs = cq.astype(np.float64) * cb
     hot = pairs * HOT_FACTOR >= float(nq) * nb
+    if hot.sum() > MAX_DENSE_TERMS:
+        keep = np.argsort(-pairs, kind="stable")[:MAX_DENSE_TERMS]
+        hot = np.zeros(nt, dtype=bool)
+        hot[keep] = True
     if hot.any():
         hot_ids = np.flatnonzero(hot)
         hpos = np.full(nt, -1)
@@ -177,8 +182,9 @@ def _side(docs: DataFrame, vecs: DataFrame | None, id_col: str, label_col: str |
 def _run(query_docs, query_vecs, base_docs, base_vecs, *, k=None, min_sim=None, id_col="doc_id", label_col=None,
          exclude_same_label=False, vec_col=None, q_block_rows=1024, b_block_rows=1024, min_cells=None):
     spark = query_docs.sparkSession
-    n_q = query_docs.count()
-    n_b = base_docs.count()
+    sizes = query_docs.select(F.lit(0).alias("side")).unionByName(base_docs.select(F.lit(1).alias("side")))
+    got = dict(sizes.groupBy("side").count().collect())          # both side sizes in one job
+    n_q, n_b = got.get(0, 0), got.get(1, 0)
     bq, bb = _block_counts(spark, n_q, n_b, q_block_rows, b_block_rows, min_cells)
     if vec_col:
         q = query_docs.select(F.col(id_col).cast(_id_type(query_docs, id_col)).alias("id"), F.col(vec_col).alias("vec"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +23,14 @@ class Retrieval:
 
 
 def build(corpus: DataFrame, split_col: str = "split") -> Retrieval:
+    """Fit on the train split and vectorise both splits. The vector tables are the index: they are read by the
+    top-k join and twice by the partner search, so they are persisted (memory, spilling to disk)."""
     train = corpus.filter(F.col(split_col) == "train")
     test = corpus.filter(F.col(split_col) == "test")
     model = tfidf.fit(train)
-    return Retrieval(model, train, test, tfidf.transform(model, train), tfidf.transform(model, test))
+    keep = StorageLevel.MEMORY_AND_DISK
+    return Retrieval(model, train, test, tfidf.transform(model, train).persist(keep),
+                     tfidf.transform(model, test).persist(keep))
 
 
 def topk_similar(r: Retrieval, k: int, **blocks) -> DataFrame:

@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import checkpoint_root
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,7 +33,7 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 @dataclass
 class TfidfModel:
-    idf: DataFrame          # (term, df, idf), checkpointed
+    idf: DataFrame          # (term, df, idf), persisted
     n_docs: int
     vocab_size: int
     broadcast_max_terms: int = 5_000_000
@@ -44,17 +44,21 @@ class TfidfModel:
 
 
 def fit(train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        broadcast_max_terms: int = 5_000_000, checkpoint: bool = True) -> TfidfModel:
-    """Fit vocabulary + smoothed idf on the train documents (every document counts toward n)."""
+        broadcast_max_terms: int = 5_000_000) -> TfidfModel:
+    """Fit vocabulary + smoothed idf on the train documents (every document counts toward n).
+
+    One action: n is a scalar subquery of the same job, the model is persisted (it is small and its lineage
+    short, so a lost block is recomputed, not re-read)."""
     counts = term_counts(train_docs, id_col, text_col)
-    n_docs = train_docs.select(id_col).distinct().count()
-    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
-        "term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")
+    n = train_docs.select(F.count_distinct(F.col(id_col)).cast("double")).scalar()
+    idf = (
+        counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        .select("term", "df", (F.log((F.lit(1.0) + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"), n.alias("_n"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    if checkpoint:
-        checkpoint_root(train_docs.sparkSession)
-        idf = idf.checkpoint(eager=True)
-    return TfidfModel(idf=idf, n_docs=n_docs, vocab_size=idf.count(), broadcast_max_terms=broadcast_max_terms)
+    stats = idf.agg(F.count(F.lit(1)).alias("v"), F.max("_n").alias("n")).first()
+    n_docs = int(stats.n) if stats.n is not None else train_docs.select(id_col).distinct().count()
+    return TfidfModel(idf=idf.drop("_n"), n_docs=n_docs, vocab_size=stats.v, broadcast_max_terms=broadcast_max_terms)
 
 
 def transform(model: TfidfModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

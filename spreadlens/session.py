@@ -28,6 +28,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
     )
+    log_dir = os.environ.get("SPREADLENS_EVENT_LOG_DIR")      # opt-in: stage/task times for profiling
+    if log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -53,3 +56,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written intermediate tables."""
     root = checkpoint_root(spark)
     return os.path.join(root, "spreadlens", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df):
+    """Round-robin the rows over the cluster's cores when a scan yields fewer partitions than cores (a small file
+    with one row group is read by one task); a no-op for real inputs, which come in many splits. Used in front of
+    CPU-heavy row-wise work (tokenising text) that would otherwise run in that single task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import positions_within_groups
+from ..session import spread
 
 BUCKET_MICROS = {"day": 86_400_000_000, "hour": 3_600_000_000}
 
@@ -31,7 +32,7 @@ def label_expr(toxic: F.Column) -> F.Column:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, label, split) for every labelled document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return docs.join(labels, "doc_id").select(
         "doc_id",
