@@ -40,10 +40,13 @@ def _block_counts(spark, n_q: int, n_b: int, q_block_rows: int, b_block_rows: in
     return bq, bb
 
 
-def _select(s: np.ndarray, qids, bids, qlab, blab, k: int | None, min_sim: float | None, exclude_same_label: bool):
+def _select(s: np.ndarray, qids, bids, qlab, blab, k: int | None, min_sim: float | None, exclude_same_label: bool,
+            exclude_self: bool = False):
     key = np.round(s, ROUND)
     if exclude_same_label:
         key = np.where(qlab[:, None] == blab[None, :], -np.inf, key)
+    if exclude_self:
+        key = np.where(qids[:, None] == bids[None, :], -np.inf, key)
     if k is not None:
         kk = min(k, key.shape[1])
         idx = np.argsort(-key, axis=1, kind="stable")[:, :kk]   # columns are in ascending base id order
@@ -120,7 +123,7 @@ def _sparse_sim(qrow, qc, wq, brow, bc, wb, nq, nb, nt):
     return s
 
 
-def _sparse_cell(k, min_sim, exclude_same_label):
+def _sparse_cell(k, min_sim, exclude_same_label, exclude_self=False):
     def cell(qp: pd.DataFrame, bp: pd.DataFrame) -> pd.DataFrame:
         qd = qp[qp["term"].isna()]
         bd = bp[bp["term"].isna()].sort_values("id")
@@ -138,12 +141,12 @@ def _sparse_cell(k, min_sim, exclude_same_label):
         s = _sparse_sim(qrow[qk], qc[qk], qpost["weight"].to_numpy(float)[qk],
                         brow[bk], bc[bk], bpost["weight"].to_numpy(float)[bk], len(qids), len(bids), len(uniq))
         return _select(s, qids, bids, qd["label"].to_numpy(object), bd["label"].to_numpy(object),
-                       k, min_sim, exclude_same_label)
+                       k, min_sim, exclude_same_label, exclude_self)
 
     return cell
 
 
-def _dense_cell(k, min_sim, exclude_same_label):
+def _dense_cell(k, min_sim, exclude_same_label, exclude_self=False):
     def unit(vecs):
         m = np.stack([np.asarray(v, dtype=np.float64) for v in vecs]) if len(vecs) else np.zeros((0, 0))
         n = np.sqrt((m * m).sum(axis=1))
@@ -156,7 +159,8 @@ def _dense_cell(k, min_sim, exclude_same_label):
         bp = bp.sort_values("id")
         s = unit(qp["vec"].tolist()) @ unit(bp["vec"].tolist()).T
         return _select(s, _ids(qp["id"]), _ids(bp["id"]),
-                       qp["label"].to_numpy(object), bp["label"].to_numpy(object), k, min_sim, exclude_same_label)
+                       qp["label"].to_numpy(object), bp["label"].to_numpy(object), k, min_sim, exclude_same_label,
+                       exclude_self)
 
     return cell
 
@@ -180,7 +184,8 @@ def _side(docs: DataFrame, vecs: DataFrame | None, id_col: str, label_col: str |
 
 
 def _run(query_docs, query_vecs, base_docs, base_vecs, *, k=None, min_sim=None, id_col="doc_id", label_col=None,
-         exclude_same_label=False, vec_col=None, q_block_rows=1024, b_block_rows=1024, min_cells=None):
+         exclude_same_label=False, exclude_self=False, vec_col=None, q_block_rows=1024, b_block_rows=1024,
+         min_cells=None):
     spark = query_docs.sparkSession
     sizes = query_docs.select(F.lit(0).alias("side")).unionByName(base_docs.select(F.lit(1).alias("side")))
     got = dict(sizes.groupBy("side").count().collect())          # both side sizes in one job
@@ -191,11 +196,11 @@ def _run(query_docs, query_vecs, base_docs, base_vecs, *, k=None, min_sim=None,
                               (F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")).alias("label"))
         b = base_docs.select(F.col(id_col).cast(_id_type(base_docs, id_col)).alias("id"), F.col(vec_col).alias("vec"),
                              (F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")).alias("label"))
-        cell = _dense_cell(k, min_sim, exclude_same_label)
+        cell = _dense_cell(k, min_sim, exclude_same_label, exclude_self)
     else:
         q = _side(query_docs, query_vecs, id_col, label_col)
         b = _side(base_docs, base_vecs, id_col, label_col)
-        cell = _sparse_cell(k, min_sim, exclude_same_label)
+        cell = _sparse_cell(k, min_sim, exclude_same_label, exclude_self)
     q = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int")).withColumn(
         "bb", F.explode(F.sequence(F.lit(0), F.lit(bb - 1))))
     b = b.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(bb)).cast("int")).withColumn(
@@ -206,14 +211,16 @@ def _run(query_docs, query_vecs, base_docs, base_vecs, *, k=None, min_sim=None,
 
 def exact_topk(query_docs: DataFrame, base_docs: DataFrame, k: int, *, query_vecs: DataFrame | None = None,
                base_vecs: DataFrame | None = None, id_col: str = "doc_id", label_col: str | None = None,
-               exclude_same_label: bool = False, vec_col: str | None = None, **blocks) -> DataFrame:
+               exclude_same_label: bool = False, exclude_self: bool = False, vec_col: str | None = None,
+               **blocks) -> DataFrame:
     """(qid, bid, sim, skey, rank) — the k best base rows of every query row (rank 1 = most similar).
 
     Sparse input: ``*_docs`` (id[, label]) + ``*_vecs`` (doc_id, term, weight) L2-normalised. Dense input:
     ``vec_col`` names an array column of ``*_docs`` (normalised here). ``exclude_same_label`` keeps only base rows
-    whose label differs from the query row's (the contrastive partner search)."""
+    whose label differs from the query row's (the contrastive partner search); ``exclude_self`` drops the pair of
+    a row with itself (a set against itself)."""
     cells = _run(query_docs, query_vecs, base_docs, base_vecs, k=k, id_col=id_col, label_col=label_col,
-                 exclude_same_label=exclude_same_label, vec_col=vec_col, **blocks)
+                 exclude_same_label=exclude_same_label, exclude_self=exclude_self, vec_col=vec_col, **blocks)
     w = Window.partitionBy("qid").orderBy(F.col("skey").desc(), F.col("bid").asc())
     return cells.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

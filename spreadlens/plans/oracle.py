@@ -201,7 +201,7 @@ u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS nrm FROM e),
 pairs AS (
   SELECT q.vec_id AS query_id, b.vec_id AS base_id,
          coalesce(list_dot_product(q.v, b.v) / nullif(q.nrm * b.nrm, 0), 0) AS sim
-  FROM u q JOIN u b ON q.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
+  FROM u q JOIN u b ON q.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, base_id) AS rank FROM pairs)
 SELECT query_id, base_id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 5"""
 

@@ -184,11 +184,10 @@ def q_balanced_random_exemplars(spark, sf_dir):
 
 @register
 def q_dense_topk(spark, sf_dir):
+    """The DENSE_K nearest other embeddings of every embedding (all rows against all rows, self excluded)."""
     from ..operators import knn
     emb = fixtures.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = emb.filter(F.col("vec_id") % 5 == 0)
-    base = emb.filter(F.col("vec_id") % 5 != 0)
-    top = knn.exact_topk(queries, base, DENSE_K, id_col="vec_id", vec_col="embedding")
+    top = knn.exact_topk(emb, emb, DENSE_K, id_col="vec_id", vec_col="embedding", exclude_self=True)
     return top.select(F.col("qid").alias("query_id"), F.col("bid").alias("base_id"), "rank",
                       r6("sim").alias("similarity"))
 
@@ -498,7 +497,7 @@ def q_predictions_dedup(spark, sf_dir):
     store = scratch_path(spark, "store")
     scored = scoring.score(req, scoring.vote_stub, key).checkpoint(eager=True)
     for batch in (0, 1):
-        scored.withColumn("batch_id", F.lit(batch).cast("long")).write.mode("append").parquet(store)
+        scoring.append_store(scored.withColumn("batch_id", F.lit(batch).cast("long")), store)
     latest = scoring.latest(spark.read.parquet(store), key)
     return latest.select("doc_id", "strategy", "model", "num_shots", "prediction", "batch_id")
 

@@ -98,10 +98,20 @@ def run_resumable(requests: DataFrame, store_path: str, make_client: Callable[[]
     spark = requests.sparkSession
     todo = pending(requests, read_store(spark, store_path), key_cols)
     scored = score(todo, make_client, key_cols, max_parallel_calls).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    scored.write.mode("append").parquet(store_path)
+    append_store(scored, store_path)
     return latest(spark.read.parquet(store_path), key_cols)
 
 
+STORE_PARTITIONS = ["strategy", "model"]
+
+
+def append_store(scored: DataFrame, store_path: str) -> None:
+    """One append per batch; the run key names the folders (strategy=/model=) instead of result-file names, so a
+    reader of one run prunes the others."""
+    parts = [c for c in STORE_PARTITIONS if c in scored.columns]
+    scored.write.mode("append").partitionBy(*parts).parquet(store_path)
+
+
 def import_json_map(spark: SparkSession, path: str, key: str = "propagation_id") -> DataFrame:
     """A reference-style result file (one JSON object {key: answer}) -> (key, prediction). Missing file -> empty."""
     try:
@@ -112,9 +122,13 @@ def import_json_map(spark: SparkSession, path: str, key: str = "propagation_id")
     return m
 
 
-def export_json_map(preds: DataFrame, path: str, key: str, buckets: int = 8) -> None:
+def export_json_map(preds: DataFrame, path: str, key: str, max_keys_per_object: int = 50_000,
+                    buckets: int | None = None) -> None:
     """Write {key: prediction} JSON objects, one per line, one object per hash bucket of keys (the reference's
-    single result object split so no task or row has to hold all predictions)."""
+    single result object split so no task or row has to hold all predictions). The bucket count grows with the
+    data: about ``max_keys_per_object`` keys per object."""
+    if buckets is None:
+        buckets = max(1, -(-preds.count() // max_keys_per_object))
     b = preds.select(F.col(key).cast("string").alias("k"), "prediction").groupBy(
         F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("_b")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "prediction")))).alias("value"))
