@@ -465,3 +465,17 @@ WHERE c.split = 'test'""")
 ORACLE["q_incremental_score"] = with_graph_text(BAL_EX + vote_sql("ex", "doc_id") + """
 SELECT 'prop_' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || '.json' AS propagation_id, 'balanced' AS strategy,
        'llama3.1:70b' AS model, 3 AS num_shots, lower(trim(raw_answer, chr(10))) AS prediction FROM preds""")
+
+_CHAIN_EDGES = """raw_edges AS (
+  SELECT c.propagation_id, p.uid AS source, c.uid AS target
+  FROM pe c JOIN pe p ON p.propagation_id = c.propagation_id AND p.pos = c.pos - 1),"""
+_STAR_EDGES = """raw_edges AS (
+  SELECT c.propagation_id, p.uid AS source, c.uid AS target
+  FROM pe c JOIN pe p ON p.propagation_id = c.propagation_id AND p.pos = 0 AND c.pos > 0),"""
+assert _CHAIN_EDGES in GRAPH_CTES
+ORACLE["q_star_propagation_features"] = (
+    "WITH RECURSIVE " + GRAPH_CTES.replace(_CHAIN_EDGES, _STAR_EDGES) + "," + EIGEN_CTES + FEATURES_SQL + """
+SELECT propagation_id, label, round(avg_degree_centrality, 6) AS avg_degree_centrality,
+       round(eigenvector_centrality, 6) AS eigenvector_centrality,
+       round(median_retweet_time, 6) AS median_retweet_time, graph_status
+FROM features""")

@@ -524,3 +524,18 @@ def q_incremental_score(spark, sf_dir):
     out = incremental_score(spark, input_dir, scratch_path(spark, "stream-store"),
                             scratch_path(spark, "stream-ckpt"), train, k=BALANCED_K, max_files_per_trigger=2)
     return out.select("propagation_id", "strategy", "model", "num_shots", "prediction")
+
+
+@register
+def q_star_propagation_features(spark, sf_dir):
+    """Feature rows when each graph is a star (first user linked to every later user) instead of a chain."""
+    ev = fixtures.graph_events(spark, sf_dir, "day")
+    props = fixtures.propagations(spark, sf_dir, ev)
+    f = features.propagation_features(props, fixtures.graph_edges(ev, "star"), fixtures.graph_delays(ev))
+    return f.select(
+        "propagation_id", "label",
+        r6("avg_degree_centrality").alias("avg_degree_centrality"),
+        r6("eigenvector_centrality").alias("eigenvector_centrality"),
+        r6("median_retweet_time").alias("median_retweet_time"),
+        "graph_status",
+    )

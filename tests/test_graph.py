@@ -88,3 +88,17 @@ def test_eigen_invariances(spark):
     s = {r.propagation_id: r.eigenvector_centrality for r in features.eigenvector_summary(graph.undirected_edges(df)).collect()}
     assert s["g"] == pytest.approx(s["h"], abs=1e-12)
     assert s["g"] <= 1 / math.sqrt(4) + 1e-12
+
+
+def test_hourly_graphs_that_do_not_converge(spark):
+    """Hourly chain graphs of the sf0.1 events: some need more than 1,000 steps -> NULL + 'not_converged'."""
+    from spreadlens.sources import fixtures
+
+    sf = "/root/testdata/sf0.1"
+    ev = fixtures.graph_events(spark, sf, "hour")
+    props = fixtures.propagations(spark, sf, ev)
+    f = features.propagation_features(props, fixtures.graph_edges(ev, "chain"), fixtures.graph_delays(ev))
+    bad = f.filter("graph_status = 'not_converged'")
+    assert bad.count() > 0
+    assert bad.filter("eigenvector_centrality IS NOT NULL OR avg_degree_centrality IS NULL").count() == 0
+    assert f.filter("graph_status = 'ok' AND eigenvector_centrality IS NULL").count() == 0
