@@ -220,9 +220,12 @@ def _topk_run(spark, sf_dir, shots, temperatures=(0.0,), sizes=("8b",)):
 def graph_corpus(spark, sf_dir) -> DataFrame:
     """Daily propagation feature rows as a labelled corpus: doc_id = graph index, split by graph index."""
     f = daily_features(spark, sf_dir)
+    # read by the fit, both transforms, the exemplar and the test side: computed once (graphs + power iteration)
+    # and checkpointed, which also cuts the lineage the retrieval plans would otherwise re-analyse
     return f.select(F.col("graph_idx").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
                     "label", F.when(F.col("graph_idx") % 5 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
-                    "avg_degree_centrality", "eigenvector_centrality", "median_retweet_time")
+                    "avg_degree_centrality", "eigenvector_centrality", "median_retweet_time"
+                    ).checkpoint(eager=True)
 
 
 @register
