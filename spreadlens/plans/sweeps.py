@@ -105,8 +105,8 @@ def fixed_requests(features: DataFrame, per_label: int = 3, seed: str = "exempla
                    model_size: str = "70b") -> tuple[DataFrame, DataFrame]:
     """Class-balanced exemplars independent of the test row (3 fake + 3 real by default), graph metrics shown.
 
-    The exemplar set is bounded (per_label x labels rows) and built into one prompt row that every test row
-    joins to by the strategy key."""
+    The exemplar set is bounded (per_label x labels rows), so its single prompt row is taken to the driver and
+    attached to every test row as a literal — no join at all."""
     train = features.filter(F.col("split") == "train")
     picks = retrieval.stratified_exemplars(train, per_label, seed)
     ex = picks.join(train.withColumnRenamed("label", "_l"), "doc_id").select(
@@ -115,10 +115,19 @@ def fixed_requests(features: DataFrame, per_label: int = 3, seed: str = "exempla
         F.lit("Fixed").alias("kind"), F.col("text").alias("ex_text"), F.col("label").alias("ex_label"),
         *_feature_cols("ex_"), F.lit(None).cast("double").alias("ex_similarity"))
     system = prompts.system_prompts(ex, ["strategy"], prompts.WITH_GRAPH, with_metrics=True, with_kind=False)
+    row = system.first()
     test = features.filter(F.col("split") == "test")
-    req = test.withColumn("strategy", F.lit("fixed")).join(F.broadcast(system), "strategy").select(
-        "doc_id", "strategy", F.lit(2 * per_label).alias("num_shots"), "system_prompt",
-        prompts.user_prompt(prompts.WITH_GRAPH, True).alias("user_prompt"), "exemplars")
+    if row is None:
+        raise ValueError("no train rows to draw fixed exemplars from")
+    exemplars = F.array(*[
+        F.struct(F.lit(e["slot"]).cast("int").alias("slot"), F.lit(e["label"]).alias("label"),
+                 F.lit(e["similarity"]).cast("double").alias("similarity"))
+        for e in row["exemplars"]
+    ])
+    req = test.select(
+        "doc_id", F.lit("fixed").alias("strategy"), F.lit(2 * per_label).alias("num_shots"),
+        F.lit(row["system_prompt"]).alias("system_prompt"),
+        prompts.user_prompt(prompts.WITH_GRAPH, True).alias("user_prompt"), exemplars.alias("exemplars"))
     return grid(req, [0.0], [model_size]), test.select("doc_id", "label")
 
 
