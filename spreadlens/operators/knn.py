@@ -32,12 +32,19 @@ def _cell_schema(qtype: str, btype: str) -> str:
 
 
 def _block_counts(spark, n_q: int, n_b: int, q_block_rows: int, b_block_rows: int, min_cells: int | None):
-    bq = max(1, math.ceil(n_q / q_block_rows))
-    bb = max(1, math.ceil(n_b / b_block_rows))
+    """Block grid (bq x bb): blocks no larger than the row caps, at least ``min_cells`` cells for parallelism, and
+    among such grids the one replicating the fewest rows (n_q * bb + n_b * bq, each side is copied once per block
+    of the other side)."""
+    lo_q = max(1, math.ceil(n_q / q_block_rows))
+    lo_b = max(1, math.ceil(n_b / b_block_rows))
     target = min_cells or 2 * spark.sparkContext.defaultParallelism
-    if bq * bb < target:
-        bb = max(bb, min(max(n_b, 1), math.ceil(target / bq)))
-    return bq, bb
+    best = None
+    for bq in range(lo_q, max(lo_q, min(max(n_q, 1), target)) + 1):
+        bb = max(lo_b, min(max(n_b, 1), math.ceil(target / bq)))
+        cost = n_q * bb + n_b * bq
+        if best is None or cost < best[0]:
+            best = (cost, bq, bb)
+    return best[1], best[2]
 
 
 def _select(s: np.ndarray, qids, bids, qlab, blab, k: int | None, min_sim: float | None, exclude_same_label: bool,
