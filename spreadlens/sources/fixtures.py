@@ -42,6 +42,18 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def epoch_micros(df: DataFrame, col: str) -> F.Column:
+    """Microseconds since the epoch. A TIMESTAMP_NTZ wall time is read as UTC without consulting the session time
+    zone (a cast to TIMESTAMP would shift it by the session's offset); a TIMESTAMP is already an instant."""
+    c = F.col(col)
+    if df.schema[col].dataType.typeName() == "timestamp_ntz":
+        day = F.unix_date(F.to_date(c)).cast("long")
+        secs = F.hour(c) * 3600 + F.minute(c) * 60
+        frac = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")   # seconds incl. microseconds
+        return day * 86_400_000_000 + secs.cast("long") * 1_000_000 + frac
+    return F.unix_micros(c.cast("timestamp"))
+
+
 def propagation_id(idx: F.Column) -> F.Column:
     return F.concat(F.lit("prop_"), F.lpad(idx.cast("string"), 5, "0"), F.lit(".json"))
 
@@ -53,8 +65,7 @@ def graph_events(spark: SparkSession, sf_dir: str, granularity: str = "day", che
     """
     unit = BUCKET_MICROS[granularity]
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    ev = ev.withColumn("_micros", micros).withColumn("_bucket", F.expr(f"_micros div {unit}"))
+    ev = ev.withColumn("_micros", epoch_micros(ev, "ts")).withColumn("_bucket", F.expr(f"_micros div {unit}"))
     first_bucket = ev.select(F.min("_bucket")).scalar()
     ev = ev.withColumn("graph_idx", (F.col("_bucket") - first_bucket).cast("long")).drop("_bucket")
     ev = positions_within_groups(ev, ["graph_idx"], ["ts", "event_id"], size_col="n_events", checkpoint=checkpoint)
