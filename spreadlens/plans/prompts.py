@@ -85,6 +85,19 @@ def system_prompts(exemplars: DataFrame, group_cols: list[str], template: Prompt
     )
 
 
+def attach(requests: DataFrame, system: DataFrame, key: list[str], template: PromptTemplate) -> DataFrame:
+    """Left-join the system prompts; a row without exemplars (k = 0) gets the instruction without examples."""
+    j = requests.join(system, key, "left")
+    return j.withColumn(
+        "system_prompt",
+        F.coalesce(F.col("system_prompt"), F.lit(template.intro + SEP + template.closing)),
+    ).withColumn(
+        "exemplars",
+        F.coalesce(F.col("exemplars"),
+                   F.array().cast("array<struct<slot:int,label:string,similarity:double>>")),
+    )
+
+
 def user_prompt(template: PromptTemplate, with_metrics: bool, text_col: str = "text") -> Column:
     parts = [F.lit("Post: "), F.coalesce(F.col(text_col), F.lit(""))]
     if with_metrics:

@@ -57,7 +57,8 @@ def topk_requests(r: Retrieval, top: DataFrame, shots: list[int], temperatures:
         F.col("test_id").alias("doc_id"), "num_shots", F.col("rank").alias("slot"), F.lit("Similar").alias("kind"),
         "ex_text", "ex_label", F.col("similarity").alias("ex_similarity"))
     system = prompts.system_prompts(ex, ["doc_id", "num_shots"], template, with_metrics=False, with_kind=False)
-    req = r.test.select("doc_id", "text").join(system, "doc_id").select(
+    cells = r.test.select("doc_id", "text").withColumn("num_shots", F.explode(ks))
+    req = prompts.attach(cells, system, ["doc_id", "num_shots"], template).select(
         "doc_id", "num_shots", "system_prompt", prompts.user_prompt(template, False).alias("user_prompt"), "exemplars")
     return grid(req.withColumn("strategy", F.lit("topk")), list(temperatures), list(model_sizes))
 
@@ -95,7 +96,8 @@ def balanced_requests_for(train: DataFrame, test: DataFrame, train_vecs: DataFra
         F.col("similarity").alias("ex_similarity"))
     system = prompts.system_prompts(ex, ["doc_id", "num_shots"], prompts.WITH_GRAPH, with_metrics=True,
                                     with_kind=True)
-    req = test.join(system, "doc_id").select(
+    req = prompts.attach(test.withColumn("num_shots", F.lit(k)), system, ["doc_id", "num_shots"],
+                         prompts.WITH_GRAPH).select(
         "doc_id", "num_shots", "system_prompt", prompts.user_prompt(prompts.WITH_GRAPH, True).alias("user_prompt"),
         "exemplars")
     return grid(req.withColumn("strategy", F.lit("balanced")), [0.0], [model_size])
