@@ -66,3 +66,22 @@ def test_incremental_two_drops_score_each_key_once(spark, tmp_path):
     assert sorted(r.propagation_id for r in second.collect()) == ["a.json", "b.json", "c.json"]
     assert spark.read.parquet(store).count() == 3          # no key scored twice
     assert {r.propagation_id: r.prediction for r in second.collect()}["a.json"] == "fake"
+
+
+def test_feature_cache_key_includes_input_and_fit(spark, tmp_path):
+    from spreadlens.sources import feature_cache
+
+    calls = []
+
+    def build(v):
+        def b():
+            calls.append(v)
+            return spark.createDataFrame([(v,)], "v long")
+        return b
+
+    a1 = feature_cache.load_or_build(spark, {"input": "/data/a/test", "fit": "f1"}, build(1))
+    a2 = feature_cache.load_or_build(spark, {"input": "/data/a/test", "fit": "f1"}, build(2))
+    b1 = feature_cache.load_or_build(spark, {"input": "/data/b/test", "fit": "f1"}, build(3))
+    c1 = feature_cache.load_or_build(spark, {"input": "/data/a/test", "fit": "f2"}, build(4))
+    assert [a1.first().v, a2.first().v, b1.first().v, c1.first().v] == [1, 1, 3, 4]
+    assert calls == [1, 3, 4]

@@ -120,3 +120,9 @@ def test_similarity_join_threshold(spark):
     r = retrieval.build(c)
     pairs = knn.similarity_join(r.test, r.train, 0.5, query_vecs=r.test_vecs, base_vecs=r.train_vecs).collect()
     assert [(p.qid, p.bid) for p in pairs] == [(10, 1)]
+
+
+def test_k_larger_than_train_returns_all_rows(spark):
+    c = _corpus(spark, [(1, "aa bb", "fake", "train"), (2, "aa cc", "real", "train"), (10, "aa", "real", "test")])
+    top = retrieval.topk_similar(retrieval.build(c), 10).collect()
+    assert sorted(t.train_id for t in top) == [1, 2]
