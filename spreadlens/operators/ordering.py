@@ -25,11 +25,13 @@ def positions_within_groups(
     size_col: str | None = None,
     num_partitions: int | None = None,
     checkpoint: bool = True,
+    part_col: str | None = None,
 ) -> DataFrame:
     """Add ``pos_col`` = 0-based position of each row inside its group, by ``order_cols`` ascending.
 
     ``group_cols + order_cols`` must be unique per row (a total order); otherwise ties could be numbered
-    differently by two evaluations. ``size_col`` (optional) adds the group's row count.
+    differently by two evaluations. ``size_col`` (optional) adds the group's row count; ``part_col`` (optional)
+    keeps the index of the task that numbered the row (to observe how a hot group was split).
     """
     spark = df.sparkSession
     keys = group_cols + order_cols
@@ -53,4 +55,6 @@ def positions_within_groups(
     keep = ["_part", *group_cols, "_first", "_offset"] + ([size_col] if size_col else [])
     out = tagged.join(offsets.select(*keep), ["_part", *group_cols])
     out = out.withColumn(pos_col, F.col("_offset") + F.col("_local") - F.col("_first"))
+    if part_col:
+        out = out.withColumnRenamed("_part", part_col)
     return out.drop("_part", "_local", "_first", "_offset")

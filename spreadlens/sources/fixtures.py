@@ -63,8 +63,13 @@ def graph_events(spark: SparkSession, sf_dir: str, granularity: str = "day", che
 
     ``pos`` is the 0-based position inside the bucket by (ts, event_id); ``delay`` is seconds since pos 0.
     """
+    return graph_events_from(table(spark, sf_dir, "events"), granularity, checkpoint)
+
+
+def graph_events_from(events: DataFrame, granularity: str = "day", checkpoint: bool = True) -> DataFrame:
+    """``graph_events`` over any (event_id, ts, user_id) DataFrame."""
     unit = BUCKET_MICROS[granularity]
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    ev = events.select("event_id", "ts", "user_id")
     ev = ev.withColumn("_micros", epoch_micros(ev, "ts")).withColumn("_bucket", F.expr(f"_micros div {unit}"))
     first_bucket = ev.select(F.min("_bucket")).scalar()
     ev = ev.withColumn("graph_idx", (F.col("_bucket") - first_bucket).cast("long")).drop("_bucket")

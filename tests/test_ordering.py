@@ -27,3 +27,35 @@ def test_graph_events_invariants(spark):
     assert first.count() == ev.select("graph_idx").distinct().count()
     chain = fixtures.graph_edges(ev, "chain")
     assert chain.count() == ev.count() - first.count()
+
+
+def test_hot_day_features_equal_window_reference(spark):
+    """One day holds ~40% of all events: positions, chain edges and the median delay still equal a plain
+    row_number / percentile computation, and the hot day is numbered by several tasks."""
+    import datetime as dt
+
+    from spreadlens.operators import graph
+
+    rows = []
+    base = dt.datetime(2024, 1, 1)
+    for i in range(6000):
+        day = 0 if i % 5 < 2 else 1 + i % 7
+        rows.append((i, base + dt.timedelta(days=day, seconds=(i * 7919) % 86000), (i * 31) % 97))
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")
+    ev = fixtures.graph_events_from(events, "day")
+    hot = ev.filter("graph_idx = 0")
+    assert hot.count() == 2400
+    numbered = positions_within_groups(events.withColumn("d", F.to_date("ts")), ["d"], ["ts", "event_id"],
+                                       num_partitions=8, part_col="task")
+    assert numbered.filter("d = DATE'2024-01-01'").select("task").distinct().count() > 1   # hot day: many tasks
+    w = Window.partitionBy("graph_idx").orderBy("ts", "event_id")
+    ref = ev.withColumn("rn", F.row_number().over(w) - 1)
+    assert ref.filter("rn != pos").count() == 0
+    med = {r.propagation_id: r.median_retweet_time for r in graph.median_delay_sorted(fixtures.graph_delays(ev)).collect()}
+    exact = {r.propagation_id: r.m for r in ev.filter("pos >= 1").groupBy("propagation_id").agg(
+        F.median("delay").alias("m")).collect()}
+    assert med.keys() == exact.keys()
+    for k in med:
+        assert abs(med[k] - exact[k]) < 1e-9
+    chain = fixtures.graph_edges(ev, "chain")
+    assert chain.count() == ev.count() - ev.select("graph_idx").distinct().count()
