@@ -192,11 +192,13 @@ def _side(docs: DataFrame, vecs: DataFrame | None, id_col: str, label_col: str |
 
 def _run(query_docs, query_vecs, base_docs, base_vecs, *, k=None, min_sim=None, id_col="doc_id", label_col=None,
          exclude_same_label=False, exclude_self=False, vec_col=None, q_block_rows=1024, b_block_rows=1024,
-         min_cells=None):
+         min_cells=None, sizes=None):
     spark = query_docs.sparkSession
-    sizes = query_docs.select(F.lit(0).alias("side")).unionByName(base_docs.select(F.lit(1).alias("side")))
-    got = dict(sizes.groupBy("side").count().collect())          # both side sizes in one job
-    n_q, n_b = got.get(0, 0), got.get(1, 0)
+    if sizes is None:
+        both = query_docs.select(F.lit(0).alias("side")).unionByName(base_docs.select(F.lit(1).alias("side")))
+        got = dict(both.groupBy("side").count().collect())          # both side sizes in one job
+        sizes = (got.get(0, 0), got.get(1, 0))
+    n_q, n_b = sizes
     bq, bb = _block_counts(spark, n_q, n_b, q_block_rows, b_block_rows, min_cells)
     if vec_col:
         q = query_docs.select(F.col(id_col).cast(_id_type(query_docs, id_col)).alias("id"), F.col(vec_col).alias("vec"),

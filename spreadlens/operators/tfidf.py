@@ -44,13 +44,14 @@ class TfidfModel:
 
 
 def fit(train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        broadcast_max_terms: int = 5_000_000) -> TfidfModel:
+        broadcast_max_terms: int = 5_000_000, counts: DataFrame | None = None, n_docs: int | None = None) -> TfidfModel:
     """Fit vocabulary + smoothed idf on the train documents (every document counts toward n).
 
-    One action: n is a scalar subquery of the same job, the model is persisted (it is small and its lineage
-    short, so a lost block is recomputed, not re-read)."""
-    counts = term_counts(train_docs, id_col, text_col)
-    n = train_docs.select(F.count_distinct(F.col(id_col)).cast("double")).scalar()
+    One action: n is a scalar subquery of the same job (or given), the model is persisted (it is small and its
+    lineage short, so a lost block is recomputed, not re-read). ``counts`` = precomputed ``term_counts``."""
+    counts = counts if counts is not None else term_counts(train_docs, id_col, text_col)
+    n = (F.lit(float(n_docs)) if n_docs is not None
+         else train_docs.select(F.count_distinct(F.col(id_col)).cast("double")).scalar())
     idf = (
         counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         .select("term", "df", (F.log((F.lit(1.0) + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"), n.alias("_n"))
@@ -61,9 +62,11 @@ def fit(train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return TfidfModel(idf=idf.drop("_n"), n_docs=n_docs, vocab_size=stats.v, broadcast_max_terms=broadcast_max_terms)
 
 
-def transform(model: TfidfModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def transform(model: TfidfModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              counts: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, weight) L2-normalised; documents with no known term have no rows (zero vector)."""
-    raw = term_counts(docs, id_col, text_col).join(model.idf_side(), "term")
+    counts = counts if counts is not None else term_counts(docs, id_col, text_col)
+    raw = counts.join(model.idf_side(), "term")
     raw = raw.select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return raw.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
