@@ -420,7 +420,7 @@ ORACLE["q_metrics_strict"] = with_graph_text(BAL_EX + vote_sql("ex", "doc_id") +
   FROM corpus t JOIN preds p USING (doc_id) WHERE t.split = 'test')""" + metrics_sql("pairs", ["strategy", "num_shots"]))
 
 SWEEP_EX = """
-, ks AS (SELECT unnest(range(1, 9)) AS num_shots),
+, ks AS (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS num_shots),
 ex AS (
   SELECT t.test_id AS doc_id, ks.num_shots, c.label AS ex_label, t.sim AS ex_similarity
   FROM topk t JOIN ks ON t.rank <= ks.num_shots JOIN corpus c ON c.doc_id = t.train_id)"""
