@@ -35,8 +35,10 @@ def positions_within_groups(
     """
     spark = df.sparkSession
     keys = group_cols + order_cols
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without an explicit count AQE may merge small range partitions (adjacent ranges, order kept) while a large
+    # group still spans many advisory-sized partitions
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
+    ranged = ranged.sortWithinPartitions(*keys)
     mid = F.monotonically_increasing_id()
     tagged = ranged.withColumn("_part", F.shiftright(mid, _LOCAL_BITS)).withColumn(
         "_local", mid.bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
