@@ -58,9 +58,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "spreadlens", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def spread(df):
-    """Round-robin the rows over the cluster's cores when a scan yields fewer partitions than cores (a small file
-    with one row group is read by one task); a no-op for real inputs, which come in many splits. Used in front of
-    CPU-heavy row-wise work (tokenising text) that would otherwise run in that single task."""
+def spread(df, key: str | None = None):
+    """Spread the rows over the cluster's cores when a scan yields fewer partitions than cores (a small file with
+    one row group is read by one task); a no-op for real inputs, which come in many splits. Used in front of
+    CPU-heavy row-wise work (tokenising text) that would otherwise run in that single task. With ``key`` the rows
+    are hash-partitioned on it, so later aggregates / windows keyed by it need no exchange of their own."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)

@@ -32,7 +32,7 @@ def label_expr(toxic: F.Column) -> F.Column:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, label, split) for every labelled document."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return docs.join(labels, "doc_id").select(
         "doc_id",
