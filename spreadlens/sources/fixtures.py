@@ -108,8 +108,13 @@ def graph_delays(events: DataFrame) -> DataFrame:
 def propagations(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
     """One row per graph: (propagation_id, graph_idx, text, label). Text/label from doc_id = graph index."""
     graphs = events.filter(F.col("pos") == 0).select("propagation_id", "graph_idx")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("graph_idx"), "text")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("graph_idx"), "toxic")
+    ids = graphs.select("graph_idx")
+    # semi-join first: the per-graph id list is the small side, so the large text table is filtered where it is
+    # read instead of being shuffled whole into a left outer join (which can only broadcast its right side)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("graph_idx"), "text").join(
+        ids, "graph_idx", "left_semi")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("graph_idx"), "toxic").join(
+        ids, "graph_idx", "left_semi")
     return (
         graphs.join(docs, "graph_idx", "left")
         .join(labels, "graph_idx", "left")
