@@ -41,3 +41,31 @@ def test_oracle_sample(spark, name):
     s = Counter(tuple(_norm(r[c]) for c in sorted(df.columns)) for r in df.collect())
     d = Counter(tuple(_norm(r[dcols.index(c)]) for c in sorted(dcols)) for r in res.fetchall())
     assert s == d
+
+
+def test_runs_from_outside_the_repo_in_a_default_session(tmp_path):
+    """Executors must not need the package on their path (functions are pickled by value), and event-time bucketing
+    must not depend on the session time zone."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+s = (SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')
+     .config('spark.ui.showConsoleProgress', 'false').config('spark.sql.session.timeZone', 'Asia/Tokyo').getOrCreate())
+s.sparkContext.setLogLevel('ERROR')
+import __spark_entry__ as E
+rows = E.entry(s).collect()
+ids = sorted(r.propagation_id for r in rows)
+n = E.queries()['q_dense_topk'](s, '/root/testdata/sf0.001').count()
+print('RESULT', len(rows), ids[0], n)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    line = [l for l in out.stdout.splitlines() if l.startswith("RESULT")]
+    assert line, out.stderr[-2000:]
+    _, n_rows, first_id, n_dense = line[0].split()
+    assert int(n_rows) > 0 and first_id == "prop_00000.json" and int(n_dense) > 0
