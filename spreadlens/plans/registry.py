@@ -80,8 +80,8 @@ def q_median_delay(spark, sf_dir):
         "propagation_id", r6(F.coalesce(F.col("median_retweet_time"), F.lit(0.0))).alias("median_retweet_time"))
 
 
-def daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = fixtures.graph_events(spark, sf_dir, "day")
+def daily_features(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
+    ev = ev if ev is not None else fixtures.graph_events(spark, sf_dir, "day")
     props = fixtures.propagations(spark, sf_dir, ev)
     return features.propagation_features(props, fixtures.graph_edges(ev, "chain"), fixtures.graph_delays(ev))
 
@@ -217,9 +217,9 @@ def _topk_run(spark, sf_dir, shots, temperatures=(0.0,), sizes=("8b",)):
     return r, req
 
 
-def graph_corpus(spark, sf_dir) -> DataFrame:
+def graph_corpus(spark, sf_dir, ev: DataFrame | None = None) -> DataFrame:
     """Daily propagation feature rows as a labelled corpus: doc_id = graph index, split by graph index."""
-    f = daily_features(spark, sf_dir)
+    f = daily_features(spark, sf_dir, ev)
     # read by the fit, both transforms, the exemplar and the test side: computed once (graphs + power iteration)
     # and checkpointed, which also cuts the lineage the retrieval plans would otherwise re-analyse
     return f.select(F.col("graph_idx").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
@@ -408,16 +408,16 @@ def q_metrics_by_model(spark, sf_dir):
 
 
 # ------------------------------------------------------------------------------------------------ sources & stores
-def _records_path(spark, sf_dir, test_only=False):
+def _records_path(spark, sf_dir, test_only=False, files=None, ev=None):
     from ..session import scratch_path
     from ..sources import propagation_json
-    ev = fixtures.graph_events(spark, sf_dir, "day")
+    ev = ev if ev is not None else fixtures.graph_events(spark, sf_dir, "day")
     rec = fixtures.propagation_records(spark, sf_dir, ev, "chain")
     if test_only:
         rec = rec.join(ev.filter("pos = 0").select("propagation_id", "graph_idx"), "propagation_id").filter(
             F.col("graph_idx") % 5 == 0).drop("graph_idx")
     path = scratch_path(spark, "records")
-    propagation_json.write_lines(rec, path)
+    propagation_json.write_lines(rec.repartition(files) if files else rec, path)
     return path
 
 
@@ -522,10 +522,11 @@ def q_pending(spark, sf_dir):
 def q_incremental_score(spark, sf_dir):
     from ..session import scratch_path
     from ..streaming.incremental import incremental_score
-    input_dir = _records_path(spark, sf_dir, test_only=True)
-    train = graph_corpus(spark, sf_dir).filter(F.col("split") == "train")
+    ev = fixtures.graph_events(spark, sf_dir, "day")                          # numbered once, read by both
+    input_dir = _records_path(spark, sf_dir, test_only=True, files=2, ev=ev)  # two file drops -> two micro-batches
+    train = graph_corpus(spark, sf_dir, ev).filter(F.col("split") == "train")
     out = incremental_score(spark, input_dir, scratch_path(spark, "stream-store"),
-                            scratch_path(spark, "stream-ckpt"), train, k=BALANCED_K, max_files_per_trigger=2)
+                            scratch_path(spark, "stream-ckpt"), train, k=BALANCED_K, max_files_per_trigger=1)
     return out.select("propagation_id", "strategy", "model", "num_shots", "prediction")
 
 
