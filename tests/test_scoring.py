@@ -78,3 +78,12 @@ def test_json_result_file_roundtrip(spark, tmp_path):
     scoring.export_json_map(preds, out, "doc_id", buckets=4)
     back = {r.propagation_id: r.prediction for r in scoring.import_json_lines(spark, out).collect()}
     assert back == {str(i): ("fake" if i % 2 else "real") for i in range(50)}
+
+
+def test_json_export_objects_grow_with_the_data(spark, tmp_path):
+    preds = spark.createDataFrame([(i, "fake") for i in range(100)], "doc_id long, prediction string")
+    out = str(tmp_path / "grown")
+    scoring.export_json_map(preds, out, "doc_id", max_keys_per_object=10)
+    lines = spark.read.text(out)
+    assert lines.count() == 10                                   # one object per ~10 keys, never one for all
+    assert scoring.import_json_lines(spark, out).count() == 100
