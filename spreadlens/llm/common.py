@@ -43,3 +43,24 @@ def fold(doc_id: str, folds: int) -> Column:
 def words(text: Column) -> Column:
     """The words of a text, in order (native)."""
     return F.filter(F.split(text, GAP, -1), lambda w: w != "")
+
+
+def small_batches(spark: SparkSession, rows: int = 256, mb: int = 16) -> None:
+    """Arrow batches that stay small when single texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
+def utf8(column):
+    """The bytes of an Arrow string column and the offsets of its rows, without copying; nulls are empty."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    c = pc.fill_null(column, "").cast(pa.large_binary())
+    if isinstance(c, pa.ChunkedArray):
+        c = c.combine_chunks()
+    _, offsets, data = c.buffers()
+    at = np.frombuffer(offsets, np.int64)[c.offset:c.offset + len(c) + 1] if len(c) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[at[0]:at[-1]], at - at[0]
