@@ -12,9 +12,10 @@ drop out, the others go on with their next digit. Digits are hashes of byte runs
 * First digit: the anchor's substring. Runs alone with their digit hold no repeated window.
 * Second digit: the whole span of the run (bytes from its first start to the end of its last window, and where the
   anchor lies in it). If all runs of a group agree, all of their windows are repeated, at any group size.
-* Last digits, for groups that split (context differs around a shared passage): one run of each distinct span goes
-  on, window by window, with a digit for the bytes up to the anchor substring's end and then the 128-bit digit of
-  the whole window. A span that occurs twice counts as two.
+* Last digit, for groups that split (context differs around a shared passage): one run of each distinct span goes
+  on with its bytes, which give the 128-bit digit of each of its windows. Equal windows have equal first digits, so a
+  group is resolved where it stands; groups of more than ``MAX_GROUP`` distinct spans are spread over the cluster
+  by the last digit instead. A span that occurs twice has only repeated windows.
 
 Nulls: a null text is empty. Rows are told apart by doc_id and text; a repeated row repeats all windows. Texts below the
 threshold have no window. An empty table gives no rows; extra columns are kept by ``without_repeats`` and else ignored.
@@ -28,12 +29,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, small_batches, stage, utf8, whole_text
+from .common import free_shuffles, release, small_batches, stage, utf8, whole_text
 
 THRESHOLD = 200
 DIGIT = 64
 #: Window starts handled at once.
 PIECE = 1 << 16
+#: Span texts compared at once, and the group size beyond which windows are spread over the cluster one by one.
+GATHER = 4096
+MAX_GROUP = 4096
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 MIX = 0xBF58476D1CE4E5B9
@@ -164,29 +168,111 @@ def runs(docs: DataFrame, threshold: int) -> DataFrame:
     return docs.mapInArrow(run, "_k long, start int, count int, gram long, span long")
 
 
-def windows(asked: DataFrame, threshold: int) -> DataFrame:
-    """(_k, start, d1, d2, weight, open): the windows of the asked runs with their 128-bit digits."""
+def span_texts(asked: DataFrame, threshold: int) -> DataFrame:
+    """(gram, _k, start, count, n, bytes) of the asked runs, their bytes cut from the texts."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
             data, offsets = utf8(b.column("text"))
-            keys, lists = b.column("_k").to_pylist(), b.column("ask").to_pylist()
-            for i, ask in enumerate(lists):
-                parts = []
-                buf = data[offsets[i]:offsets[i + 1]]
-                for r in ask:
-                    a, c = r["start"], r["count"]
-                    piece = buf[a:a + c + threshold - 1]
-                    parts.append((np.arange(a, a + c, dtype=np.int32), Rolling(piece, 0).all(threshold), Rolling(piece, 1).all(threshold), np.full(c, min(r["n"], 2)), np.full(c, r["n"] == 1)))
-                start, d1, d2, weight, free = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(start), keys[i]), pa.int64()), pa.array(start), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(weight.astype(np.int32)), pa.array(free)],
-                    names=["_k", "start", "d1", "d2", "weight", "open"],
-                )
-
-    return asked.mapInArrow(run, "_k long, start int, d1 long, d2 long, weight int, open boolean")
+            ask = b.column("ask")
+            rows = pc.list_parent_indices(ask).to_numpy()
+            items = pa.RecordBatch.from_struct_array(ask.flatten())
+            first = offsets[rows] + items.column("start").to_numpy()
+            length = items.column("count").to_numpy().astype(np.int64) + threshold - 1
+            ends = np.cumsum(length)
+            take = np.repeat(first - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+            cuts = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(data[take])])
+            yield pa.RecordBatch.from_arrays(
+                [items.column("gram"), b.column("_k").take(pa.array(rows)), *(items.column(c) for c in ("start", "count", "n")), cuts.cast(pa.binary())],
+                names=["gram", "_k", "start", "count", "n", "bytes"],
+            )
+
+    return asked.mapInArrow(run, "gram long, _k long, start int, count int, n int, bytes binary")
+
+
+def window_digits(rows, threshold: int):
+    """For a batch of span texts: (span of each window, its start, its two digits)."""
+    import numpy as np
+
+    data, _ = utf8(rows.column("bytes"))
+    count = rows.column("count").to_numpy().astype(np.int64)
+    ends, wins = np.cumsum(count + threshold - 1), np.cumsum(count)
+    span = np.repeat(np.arange(len(count)), count)
+    inside = np.arange(len(span)) - np.repeat(wins - count, count)
+    at = (ends - count - threshold + 1)[span] + inside
+    start = rows.column("start").to_numpy()[span] + inside.astype(np.int32)
+    return span, start, Rolling(data, 0).all(threshold)[at], Rolling(data, 1).all(threshold)[at]
+
+
+def repeated_in_groups(rows, threshold: int):
+    """Runs (_k, start, count) of the windows that occur again among the span texts of a batch holding whole groups;
+    only for spans that occur once, since all windows of the others are repeated."""
+    import numpy as np
+    import pyarrow as pa
+
+    span, start, d1, d2 = window_digits(rows, threshold)
+    many = rows.column("n").to_numpy() > 1
+    order = np.lexsort((d2, d1))
+    same = (d1[order][1:] == d1[order][:-1]) & (d2[order][1:] == d2[order][:-1])
+    twice = np.zeros(len(span), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    twice &= ~many[span]
+    new, last = twice.copy(), twice.copy()
+    new[1:] &= ~twice[:-1] | (span[1:] != span[:-1])
+    last[:-1] &= ~twice[1:] | (span[1:] != span[:-1])
+    s, e = np.flatnonzero(new), np.flatnonzero(last)
+    return pa.RecordBatch.from_arrays(
+        [rows.column("_k").take(pa.array(span[s])), pa.array(start[s]), pa.array((e - s + 1).astype(np.int32))], names=["_k", "start", "count"]
+    )
+
+
+def resolve(spans: DataFrame, threshold: int) -> DataFrame:
+    """(_k, start, count) of the repeated windows of the groups; the groups come whole, one after another."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held, n = [], 0
+
+        def flush(last: bool):
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            gram = rows.column("gram").to_numpy()
+            stop = len(gram) if last else int(np.searchsorted(gram, gram[-1], "left"))
+            held[:] = [] if last else [rows.slice(stop)]
+            return rows.slice(0, stop)
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= GATHER and (done := flush(False)).num_rows:
+                yield repeated_in_groups(done, threshold)
+                n = held[0].num_rows
+        if n:
+            yield repeated_in_groups(flush(True), threshold)
+
+    return spans.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "_k long, start int, count int")
+
+
+def windows(spans: DataFrame, threshold: int) -> DataFrame:
+    """(_k, start, d1, d2, weight, open): each window of the span texts with its 128-bit digit."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            span, start, d1, d2 = window_digits(b, threshold)
+            n = b.column("n").to_numpy()[span]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_k").take(pa.array(span)), pa.array(start), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32)), pa.array(n == 1)],
+                names=["_k", "start", "d1", "d2", "weight", "open"],
+            )
+
+    return spans.mapInArrow(run, "_k long, start int, d1 long, d2 long, weight int, open boolean")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -207,20 +293,27 @@ def repeated_ranges(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         .where("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike"))
     )
     again = stage(found.join(grams, "gram"), "op7-again")
+    release(found)
     split = again.where("not alike")
     spans = split.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("_k", "start", "count")).alias("r"))
-    spans = stage(spans.select("gram", "span", "n", "r.*"), "op7-spans")
-    ask = spans.groupBy("_k").agg(F.collect_list(F.struct("start", "count", "n")).alias("ask"))
-    # identical rows have one key and one text; one of them is enough here
-    asked = texts.join(ask, "_k").dropDuplicates(["_k"])
-    win = stage(windows(asked, threshold), "op7-windows")
+    spans = stage(spans.select("gram", "span", F.least("n", F.lit(2)).cast("int").alias("n"), "r.*"), "op7-spans")
+    ask = spans.groupBy("_k").agg(F.collect_list(F.struct("gram", "start", "count", "n")).alias("ask"))
+    cuts = stage(span_texts(texts.join(ask, "_k"), threshold), "op7-cuts")
+    large = cuts.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > MAX_GROUP).select("gram")
+    large = stage(large, "op7-large")
+    single = resolve(cuts.join(large, "gram", "left_anti"), threshold)
+    # a group of very many spans is spread by its last digits over the cluster
+    win = stage(windows(cuts.join(large, "gram", "left_semi"), threshold), "op7-windows")
     digits = win.groupBy("d1", "d2").agg(F.sum("weight").alias("w")).where("w > 1").select("d1", "d2")
-    single = win.where("open").join(digits, ["d1", "d2"], "left_semi").select("_k", "start", F.lit(1).alias("count"))
+    spread = win.where("open").join(digits, ["d1", "d2"], "left_semi").select("_k", "start", F.lit(1).alias("count"))
     twice = split.join(spans.where("n > 1").select("gram", "span"), ["gram", "span"], "left_semi").select("_k", "start", "count")
     alike = again.where("alike").select("_k", "start", "count")
-    covered = alike.union(twice).union(single)
+    covered = alike.union(twice).union(single).union(spread)
     end = (F.col("start") + F.col("count") - 1 + threshold).alias("end")
-    return stage(covered.groupBy("_k").agg(F.sort_array(F.collect_set(F.struct("start", end))).alias("ranges")), "op7-ranges")
+    ranges = stage(covered.groupBy("_k").agg(F.sort_array(F.collect_set(F.struct("start", end))).alias("ranges")), "op7-ranges")
+    for done in (again, spans, cuts, large, win):
+        release(done)
+    return ranges
 
 
 def merged(ranges: list) -> list[tuple[int, int]]:
