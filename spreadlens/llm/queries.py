@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, simhash_dedup, suffix_dedup
+from . import bpe_codec, chat_format, quality_rules, simhash_dedup, suffix_dedup, token_count
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -47,9 +47,19 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_chat_format": op4_chat_format,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_bpe_codec": op8_bpe_codec,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_token_count": op10_token_count,
 }

@@ -288,12 +288,12 @@ def repeated_ranges(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     small_batches(spark)
     texts = keyed(docs).select("_k", whole_text().alias("text"))
     found = stage(runs(texts, threshold), "op7-runs")
-    grams = (
-        found.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
-        .where("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike"))
-    )
+    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
+    # written first: the join then deals out both sides anew, and a digit that many runs share can be split
+    grams = stage(grams.where("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike")), "op7-grams")
     again = stage(found.join(grams, "gram"), "op7-again")
     release(found)
+    release(grams)
     split = again.where("not alike")
     spans = split.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("_k", "start", "count")).alias("r"))
     spans = stage(spans.select("gram", "span", F.least("n", F.lit(2)).cast("int").alias("n"), "r.*"), "op7-spans")
