@@ -72,3 +72,24 @@ def utf8(column):
     at = np.frombuffer(offsets, np.int64)[c.offset:c.offset + len(c) + 1] if len(c) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[at[0]:at[-1]], at - at[0]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, keep, per_class: int, max_chars: int):
+    """(texts, 0/1 labels, share of label 1 among all labelled rows kept): a bounded sample for fitting a classifier.
+
+    ``per_class`` rows of either label in order of a hash of their id, without texts of more than ``max_chars``, so at
+    most ``2 * per_class * max_chars`` characters reach the driver. Rows with other labels, null ids or null texts are
+    left out; a doc_id counts once. ``keep`` maps an id column name to the condition of the training fold."""
+    import numpy as np
+
+    rows = labels.select("doc_id", F.col(target).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & keep("doc_id"))
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = [rows.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(*order).limit(per_class) for y in (0, 1)]
+    ids = F.broadcast(picked[0].union(picked[1]))
+    got = (
+        docs.where(F.col("text").isNotNull()).join(ids, "doc_id").where(F.length("text") <= max_chars)
+        .groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy(*order).toArrow()
+    )
+    total = sum(counts.values())
+    return got.column("text").to_pylist(), np.array(got.column("y").to_pylist(), np.int64), counts.get(1, 0) / total if total else 0.5

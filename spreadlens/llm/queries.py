@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, quality_rules, simhash_dedup, suffix_dedup, token_count
+from . import bpe_codec, chat_format, decontaminate, lm_score, quality_cnn, quality_rules, simhash_dedup, suffix_dedup, token_count, toxicity
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -16,6 +16,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations and one with control strings; every figure is read back from the formatted string."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -35,6 +43,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.removals(table(spark, sf_dir, "documents"))
     return out.select(
@@ -57,7 +73,11 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_lm_score": op3_lm_score,
     "op4_chat_format": op4_chat_format,
+    "op5_quality_cnn": op5_quality_cnn,
+    "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_simhash_dedup": op9_simhash_dedup,
