@@ -35,7 +35,9 @@ CONTEXT = 3
 WIDTH = 16
 NOISE = 16
 BATCH = 4096
-RATE = 0.08
+#: Tokens and rate of a training step.
+STEP = 1024
+RATE = 0.2
 #: Distinct tokens a task holds before it passes their counts on.
 HELD = 400_000
 #: The end of a document, as a token; no word holds white space.
@@ -183,7 +185,7 @@ class Trainer:
             for d in range(WIDTH):
                 grad.inputs[:, d] += np.bincount(before[:, k], scaled[:, d], INPUTS + 1)
             grad.scales[k] = (dc * m.inputs[before[:, k]]).sum(axis=0)
-        v, s = grad.vector * BATCH, self.sums.vector
+        v, s = grad.vector * STEP, self.sums.vector
         s += v * v
         m.vector -= RATE * v / np.sqrt(s)
         self.seen += n
@@ -197,7 +199,7 @@ def trained(docs: DataFrame, tables) -> Model:
         import pyarrow as pa
 
         t = tables.value
-        trainer, before, target = None, [], []
+        trainer = None
         for b in batches:
             docs_ids = [t.coded([*words(x), END]) for x in b.column("text").to_pylist()]
             if not docs_ids:
@@ -205,8 +207,8 @@ def trained(docs: DataFrame, tables) -> Model:
             trainer = trainer or Trainer(t.share, 17)
             ids, length = np.concatenate(docs_ids), np.array([len(x) for x in docs_ids])
             before, target = contexts(ids, length), t.classes(ids)
-            for a in range(0, len(target), BATCH):
-                trainer.step(before[a:a + BATCH], target[a:a + BATCH])
+            for a in range(0, len(target), STEP):
+                trainer.step(before[a:a + STEP], target[a:a + STEP])
         if trainer:
             parts = np.array_split(trainer.m.vector.astype(np.float64) * trainer.seen, blocks)
             yield pa.RecordBatch.from_arrays(
