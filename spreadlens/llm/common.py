@@ -74,6 +74,20 @@ def utf8(column):
     return raw[at[0]:at[-1]], at - at[0]
 
 
+def most_frequent(counts: DataFrame, n: str, at_most: int) -> DataFrame:
+    """The rows of the greatest counts, at most ``at_most``: those above a limit that a histogram of the counts (64
+    steps for each doubling, so a few thousand rows at any size) gives. No task sorts them all."""
+    step = F.floor(F.log2(F.col(n)) * 64)
+    steps = sorted(((r["s"], r["k"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    total, limit = 0, None
+    for s, k in steps:
+        total += k
+        if total > at_most:
+            break
+        limit = s
+    return counts.where(step >= limit) if limit is not None else counts.limit(0)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, keep, per_class: int, max_chars: int):
     """(texts, 0/1 labels, share of label 1 among all labelled rows kept): a bounded sample for fitting a classifier.
 

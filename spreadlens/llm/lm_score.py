@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, free_shuffles, small_batches, stage, whole_text
+from .common import fold, free_shuffles, most_frequent, small_batches, stage, whole_text
 
 FREQUENT = 1 << 18
 MAX_TOKEN = 64
@@ -34,7 +34,7 @@ INPUTS = 4096
 CONTEXT = 3
 WIDTH = 16
 NOISE = 16
-BATCH = 4096
+BATCH = 1024
 #: Tokens and rate of a training step.
 STEP = 1024
 RATE = 0.2
@@ -146,11 +146,21 @@ class Model:
     def log_probabilities(self, before, target):
         """Normalised natural log-probability of each target class."""
         out = np.empty(len(target))
+        weights = np.vstack([self.outputs.T, self.biases])
+        room, lines = np.empty((BATCH, OUTPUTS), np.float32), np.arange(BATCH)
+        c = np.ones((BATCH, WIDTH + 1), np.float32)
+        ones = np.ones(OUTPUTS, np.float32)
         for a in range(0, len(target), BATCH):
-            logits = self.context(before[a:a + BATCH]) @ self.outputs.T + self.biases
-            top = logits.max(axis=1)
-            norm = np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top
-            out[a:a + BATCH] = logits[np.arange(len(logits)), target[a:a + BATCH]] - norm
+            n = min(BATCH, len(target) - a)
+            c[:n, :WIDTH] = self.context(before[a:a + n])
+            logits = np.matmul(c[:n], weights, out=room[:n])
+            own = logits[lines[:n], target[a:a + n]]
+            high = float(logits.max()) if n else 0.0
+            shift = max(0.0, high - 60.0)      # only very large logits need one
+            if shift:
+                logits -= np.float32(shift)
+            norm = np.log(np.exp(logits, out=logits) @ ones)
+            out[a:a + n] = own - norm - shift
         return out
 
 
@@ -180,11 +190,11 @@ class Trainer:
         for d in range(WIDTH):
             grad.outputs[:, d] = np.bincount(target, near[:, d], OUTPUTS)
         np.add.at(grad.outputs, noise, h.T @ c)
+        place, scaled = before.T.ravel(), np.concatenate([dc * s for s in m.scales])
+        for d in range(WIDTH):
+            grad.inputs[:, d] = np.bincount(place, scaled[:, d], INPUTS + 1)
         for k in range(CONTEXT):
-            scaled = dc * m.scales[k]
-            for d in range(WIDTH):
-                grad.inputs[:, d] += np.bincount(before[:, k], scaled[:, d], INPUTS + 1)
-            grad.scales[k] = (dc * m.inputs[before[:, k]]).sum(axis=0)
+            grad.scales[k] = np.einsum("ij,ij->j", dc, m.inputs[before[:, k]])
         v, s = grad.vector * STEP, self.sums.vector
         s += v * v
         m.vector -= RATE * v / np.sqrt(s)
@@ -239,7 +249,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     learn = rows.where(~F.col("held_out"))
     counts = stage(token_counts(learn), "op3-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    short = counts.where(F.length("token") <= MAX_TOKEN).orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
+    short = most_frequent(counts.where(F.length("token") <= MAX_TOKEN), "c", FREQUENT).orderBy(F.desc("c"), "token").toArrow()
     ends = counts.where(F.col("token") == F.lit(END)).select("c").first()
     frequent = list(zip(short.column("token").to_pylist(), short.column("c").to_pylist()))
     frequent = [(t, c) for t, c in frequent if t != END]

@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, small_batches, whole_text
+from .common import free_shuffles, most_frequent, small_batches, stage, whole_text
 
 TABLE = 1 << 16
 PER_TASK = 8192
@@ -66,11 +66,8 @@ def frequent_pieces(docs: DataFrame, table: int = TABLE, per_task: int = PER_TAS
         top = [(p, n) for p, n in seen.most_common(per_task) if n > 1 and len(p) <= MAX_PIECE]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    best = (
-        docs.select(whole_text().alias("text")).mapInArrow(run, "piece string, n long")
-        .groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table)
-    )
-    return [r["piece"] for r in best.select("piece").collect()]
+    counts = stage(docs.select(whole_text().alias("text")).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "op10-pieces")
+    return most_frequent(counts, "n", table).select("piece").toArrow().column("piece").to_pylist()
 
 
 def default_vocabulary() -> str:
