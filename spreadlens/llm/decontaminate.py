@@ -5,7 +5,7 @@ test items. A score is BM25 over the distinct words of passage and item, divided
 itself, so it is the share of the item that the passage covers and one threshold fits all items. All items at or
 above it are retrieved:
 
-* common words whose impacts sum to less than the threshold in every item are non-essential: a passage with no
+* common words whose impacts sum to less than ``IDLE`` (below the threshold) in every item are non-essential: a passage with no
   essential word can't reach it, and most words of a text are passed over by one lookup;
 * items stand in blocks; a block's postings hold the greatest impact of a word in it. The essential words of a
   passage and the block's greatest non-essential sum bound the score, and only blocks whose bound reaches the threshold
@@ -38,6 +38,8 @@ WORDS = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 PASSAGE = 128
 THRESHOLD = 0.5
+#: Most that the non-essential words of an item may weigh; the less, the tighter the bounds and the longer the lists.
+IDLE = 0.25
 QUESTION = 0.6
 ANSWER = 0.5
 BLOCK = 8
@@ -90,7 +92,7 @@ class Index:
                 owners[w].append(i)
         idle, rest = set(), [0.0] * len(self.items)
         for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])):
-            if all(rest[i] + self.items[i][1][w] < threshold * 0.99 for i in owners[w]):
+            if all(rest[i] + self.items[i][1][w] < min(IDLE, threshold * 0.99) for i in owners[w]):
                 idle.add(w)
                 for i in owners[w]:
                     rest[i] += self.items[i][1][w]
