@@ -84,7 +84,7 @@ class Tables:
         self.total, self.distinct = total, distinct
         rest = total - top.sum()
         self.base = float(np.log10(total + 0.5 * (distinct + 1)))
-        self.rest = float(np.log10(rest + 0.5 * (distinct - self.tops + 1)))
+        self.rest = float(np.log10(rest + 0.5 * (max(distinct - self.tops, 0) + 1)))
         share = np.zeros(OUTPUTS)
         share[: self.tops] = top
         share[OUTPUTS - 1] = rest + 0.5
@@ -169,7 +169,7 @@ class Trainer:
 
     def __init__(self, share, seed: int):
         self.m = Model.start(share)
-        self.sums = Model(np.full(Model.size(), 1e-2, np.float32))
+        self.sums = Model(np.full(Model.size(), 1.0, np.float32))
         self.random = np.random.default_rng(seed)
         self.log_noise = np.log(NOISE * share).astype(np.float32)
         self.draw = np.cumsum(share)

@@ -30,6 +30,8 @@ HIDDEN = 16
 PER_CLASS = 1500
 MAX_CHARS = 12_000
 EPOCHS = 6
+#: Training steps at least, for small samples.
+LEAST_STEPS = 300
 ACCEPT = 0.3
 #: Distances at which a byte run counts as a repetition, and its length.
 LAGS = range(2, 41)
@@ -131,7 +133,9 @@ class Network:
             return self
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        steps, total = 0, epochs * -(-len(y) // batch)
+        per_epoch = -(-len(y) // batch)
+        epochs = max(epochs, -(-LEAST_STEPS // per_epoch))
+        steps, total = 0, epochs * per_epoch
         for _ in range(epochs):
             order = r.permutation(len(y))
             for at in range(0, len(order), batch):
