@@ -475,7 +475,7 @@ def _exported_predictions(spark, sf_dir):
     from . import scoring
     path = scratch_path(spark, "predictions-json")
     scoring.export_json_map(_preds(spark, sf_dir), path, "doc_id")
-    return scoring.import_json_lines(spark, path, "item_id")
+    return scoring.import_json_map(spark, path, "item_id")
 
 
 @register

@@ -71,16 +71,23 @@ def score(requests: DataFrame, make_client: Callable[[], object], key_cols: list
     return scored.withColumn("prediction", normalize_answer(F.col("raw_answer")))
 
 
+#: Conditions of a table that is not there yet; any other error of a reader is raised.
+ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The store, or None before its first write."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ABSENT:
+            raise
         return None
 
 
 def latest(store: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Last write wins per key (the reference rewrites its result file, so a key keeps its newest answer)."""
-    w = Window.partitionBy(*key_cols).orderBy(F.col("batch_id").desc())
+    """Last answer wins per key: an answer before an error, then the newest batch."""
+    w = Window.partitionBy(*key_cols).orderBy(F.col("error").isNull().desc(), F.col("batch_id").desc())
     return store.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
@@ -92,12 +99,20 @@ def pending(requests: DataFrame, store: DataFrame | None, key_cols: list[str]) -
     return requests.join(done, key_cols, "left_anti")
 
 
+def next_batch(store: DataFrame | None, batch_id: int = 0) -> int:
+    """``batch_id``, or the first number after the store's batches if they reach it: batch numbers only rise."""
+    last = store.agg(F.max("batch_id")).first()[0] if store is not None else None
+    return batch_id if last is None else max(batch_id, last + 1)
+
+
 def run_resumable(requests: DataFrame, store_path: str, make_client: Callable[[], object], key_cols: list[str],
                   batch_id: int, max_parallel_calls: int | None = None) -> DataFrame:
     """Score what is pending, append it to the store, return the deduplicated store."""
     spark = requests.sparkSession
-    todo = pending(requests, read_store(spark, store_path), key_cols)
-    scored = score(todo, make_client, key_cols, max_parallel_calls).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    store = read_store(spark, store_path)
+    todo = pending(requests, store, key_cols)
+    scored = score(todo, make_client, key_cols, max_parallel_calls)
+    scored = scored.withColumn("batch_id", F.lit(next_batch(store, batch_id)).cast("long"))
     append_store(scored, store_path)
     return latest(spark.read.parquet(store_path), key_cols)
 
@@ -113,29 +128,23 @@ def append_store(scored: DataFrame, store_path: str) -> None:
 
 
 def import_json_map(spark: SparkSession, path: str, key: str = "propagation_id") -> DataFrame:
-    """A reference-style result file (one JSON object {key: answer}) -> (key, prediction). Missing file -> empty."""
+    """(key, prediction) of result files: one JSON object {key: answer}, on one line or several, or any number of such
+    objects after one another, as ``export_json_map`` writes them. A missing file is empty, a broken one raises."""
     try:
         raw = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ABSENT:
+            raise
         return spark.createDataFrame([], f"{key} string, prediction string")
-    m = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, "prediction"))
-    return m
+    # a raw line break never stands inside a JSON string, so these are the borders of objects
+    objects = raw.select(F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("o")).where("trim(o) <> ''")
+    return objects.select(F.explode(F.from_json("o", "map<string,string>", {"mode": "FAILFAST"})).alias(key, "prediction"))
 
 
-def export_json_map(preds: DataFrame, path: str, key: str, max_keys_per_object: int = 50_000,
-                    buckets: int | None = None) -> None:
-    """Write {key: prediction} JSON objects, one per line, one object per hash bucket of keys (the reference's
-    single result object split so no task or row has to hold all predictions). The bucket count grows with the
-    data: about ``max_keys_per_object`` keys per object."""
-    if buckets is None:
-        buckets = max(1, -(-preds.count() // max_keys_per_object))
+def export_json_map(preds: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Write {key: prediction} JSON objects, one per line and hash bucket of keys, so no task or row has to hold all
+    predictions. The number of buckets is the caller's; ``import_json_map`` reads any number of them back whole."""
     b = preds.select(F.col(key).cast("string").alias("k"), "prediction").groupBy(
         F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("_b")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "prediction")))).alias("value"))
     b.select("value").write.mode("overwrite").text(path)
-
-
-def import_json_lines(spark: SparkSession, path: str, key: str = "propagation_id") -> DataFrame:
-    """Counterpart of ``export_json_map``: one JSON object per line -> (key, prediction)."""
-    raw = spark.read.text(path)
-    return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, "prediction"))

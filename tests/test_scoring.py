@@ -3,9 +3,12 @@
 import json
 import sys
 
+import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from spreadlens.plans import scoring
+from spreadlens.sources import feature_cache, propagation_json
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])   # test clients travel to the Python workers by value
 
@@ -76,14 +79,70 @@ def test_json_result_file_roundtrip(spark, tmp_path):
     preds = spark.createDataFrame([(i, "fake" if i % 2 else "real") for i in range(50)], "doc_id long, prediction string")
     out = str(tmp_path / "lines")
     scoring.export_json_map(preds, out, "doc_id", buckets=4)
-    back = {r.propagation_id: r.prediction for r in scoring.import_json_lines(spark, out).collect()}
+    back = {r.propagation_id: r.prediction for r in scoring.import_json_map(spark, out).collect()}
     assert back == {str(i): ("fake" if i % 2 else "real") for i in range(50)}
 
 
-def test_json_export_objects_grow_with_the_data(spark, tmp_path):
+def test_json_export_of_many_objects_comes_back_whole(spark, tmp_path):
     preds = spark.createDataFrame([(i, "fake") for i in range(100)], "doc_id long, prediction string")
     out = str(tmp_path / "grown")
-    scoring.export_json_map(preds, out, "doc_id", max_keys_per_object=10)
-    lines = spark.read.text(out)
-    assert lines.count() == 10                                   # one object per ~10 keys, never one for all
-    assert scoring.import_json_lines(spark, out).count() == 100
+    scoring.export_json_map(preds, out, "doc_id", buckets=10)
+    assert 1 < spark.read.text(out).count() <= 10                # several objects, never one for all
+    assert scoring.import_json_map(spark, out).count() == 100
+
+
+def test_broken_result_file_raises(spark, tmp_path):
+    f = tmp_path / "result.json"
+    f.write_text('{"x.json": "fake", "y.js')
+    with pytest.raises(Exception):
+        scoring.import_json_map(spark, str(f)).collect()
+
+
+def test_retried_answer_replaces_the_error_of_an_equal_batch(spark, tmp_path):
+    class Down:
+        def complete(self, *a):
+            raise RuntimeError("down")
+
+    class Up:
+        def complete(self, *a):
+            return "Fake\n"
+
+    store, req = str(tmp_path / "retry"), _requests(spark, ["a", "b"])
+    first = scoring.run_resumable(req, store, Down, KEY, batch_id=0).collect()
+    assert all(r.prediction is None for r in first)
+    again = scoring.run_resumable(req, store, Up, KEY, batch_id=0).collect()
+    assert [r.prediction for r in again] == ["fake", "fake"]
+    batches = {r.batch_id for r in scoring.read_store(spark, store).select("batch_id").distinct().collect()}
+    assert batches == {0, 1}
+    tie = spark.read.parquet(store).withColumn("batch_id", F.lit(0).cast("long"))
+    assert [r.prediction for r in scoring.latest(tie, KEY).collect()] == ["fake", "fake"]
+
+
+def test_export_reads_its_predictions_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def client(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf.assign(prediction="real")
+
+    ids = spark.range(20, numPartitions=2).withColumnRenamed("id", "doc_id")
+    preds = ids.mapInPandas(client, "doc_id long, prediction string")
+    scoring.export_json_map(preds, str(tmp_path / "once"), "doc_id")
+    assert calls.value == 20
+
+
+def test_truth_scan_raises_on_broken_and_unlabelled_records(spark, tmp_path):
+    for name, text in (("broken", '{"label": "fa'), ("unlabelled", '{"nodes": []}')):
+        d = tmp_path / name
+        d.mkdir()
+        (d / "a.json").write_text(text)
+        with pytest.raises(Exception):
+            propagation_json.true_labels(spark, str(d)).collect()
+
+
+def test_feature_cache_inventory_follows_the_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text("{}")
+    one = feature_cache.inventory(spark, str(tmp_path))
+    (tmp_path / "b.json").write_text("{}")
+    assert feature_cache.inventory(spark, str(tmp_path)) != one
