@@ -37,7 +37,7 @@ NOISE = 16
 BATCH = 1024
 #: Tokens and rate of a training step.
 STEP = 1024
-RATE = 0.2
+RATE = 0.1
 #: Distinct tokens a task holds before it passes their counts on.
 HELD = 400_000
 #: The end of a document, as a token; no word holds white space.
