@@ -6,9 +6,8 @@ ones included; each row is L2-normalised, an all-zero row stays zero; at transfo
 vocabulary are dropped.
 
 Scale notes: the per-document token counting is a hash aggregate whose partial (map-side) step already produces
-one row per (doc, term), so raw tokens never cross the network. The fitted vocabulary is broadcast only when its
-row count is under ``broadcast_max_terms`` (counted on the checkpointed model); above that the join shuffles on
-term and AQE splits skewed (frequent-term) partitions.
+one row per (doc, term), so raw tokens never cross the network. The join with the fitted vocabulary is left to AQE: it
+knows the vocabulary's bytes, broadcasts a small one, and else splits skewed (frequent-term) partitions.
 """
 
 from __future__ import annotations
@@ -36,15 +35,10 @@ class TfidfModel:
     idf: DataFrame          # (term, df, idf), persisted
     n_docs: int
     vocab_size: int
-    broadcast_max_terms: int = 5_000_000
-
-    def idf_side(self) -> DataFrame:
-        side = self.idf.select("term", "idf")
-        return F.broadcast(side) if self.vocab_size <= self.broadcast_max_terms else side
 
 
 def fit(train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        broadcast_max_terms: int = 5_000_000, counts: DataFrame | None = None, n_docs: int | None = None) -> TfidfModel:
+        counts: DataFrame | None = None, n_docs: int | None = None) -> TfidfModel:
     """Fit vocabulary + smoothed idf on the train documents (every document counts toward n).
 
     One action: n is a scalar subquery of the same job (or given), the model is persisted (it is small and its
@@ -59,14 +53,14 @@ def fit(train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     stats = idf.agg(F.count(F.lit(1)).alias("v"), F.max("_n").alias("n")).first()
     n_docs = int(stats.n) if stats.n is not None else train_docs.select(id_col).distinct().count()
-    return TfidfModel(idf=idf.drop("_n"), n_docs=n_docs, vocab_size=stats.v, broadcast_max_terms=broadcast_max_terms)
+    return TfidfModel(idf=idf.drop("_n"), n_docs=n_docs, vocab_size=stats.v)
 
 
 def transform(model: TfidfModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               counts: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, weight) L2-normalised; documents with no known term have no rows (zero vector)."""
     counts = counts if counts is not None else term_counts(docs, id_col, text_col)
-    raw = counts.join(model.idf_side(), "term")
+    raw = counts.join(model.idf.select("term", "idf"), "term")
     raw = raw.select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return raw.select("doc_id", "term", (F.col("w") / norm).alias("weight"))

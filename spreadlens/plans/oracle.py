@@ -52,8 +52,9 @@ it(step, propagation_id, vertex, x, old, delta, n) AS (
       WHERE it.delta >= it.n * 1e-6 AND it.step < 1000
       GROUP BY it.step, it.propagation_id, adj.dst))),
 eig AS (
-  SELECT propagation_id, vertex, x AS eigenvector_centrality, step AS iterations
-  FROM it WHERE delta < n * 1e-6)
+  SELECT propagation_id, vertex, CASE WHEN delta < n * 1e-6 THEN x END AS eigenvector_centrality, step AS iterations,
+         delta < n * 1e-6 AS converged
+  FROM it WHERE step > 0 AND (delta < n * 1e-6 OR step = 1000))
 """
 
 
@@ -90,11 +91,11 @@ SELECT propagation_id, n_vertices, n_edges, round(avg_degree_centrality, 6) AS a
 
 ORACLE["q_eigenvector_centrality"] = with_graph("""
 SELECT propagation_id, vertex, round(eigenvector_centrality, 6) AS eigenvector_centrality,
-       CAST(iterations AS INTEGER) AS iterations FROM eig""", eigen=True)
+       CAST(iterations AS INTEGER) AS iterations, converged FROM eig""", eigen=True)
 
 ORACLE["q_avg_eigenvector_centrality"] = with_graph("""
 SELECT propagation_id, round(avg(eigenvector_centrality), 6) AS eigenvector_centrality,
-       CAST(max(iterations) AS INTEGER) AS eig_iterations
+       CAST(max(iterations) AS INTEGER) AS eig_iterations, bool_and(converged) AS eig_converged
 FROM eig GROUP BY propagation_id""", eigen=True)
 
 MEDIAN_SQL = """
@@ -169,10 +170,13 @@ def with_text(body: str, corpus: str = CORPUS_CTE, prefix: str = "WITH ") -> str
     return prefix + corpus + TEXT_CTES + body
 
 
-ORACLE["q_tokens"] = with_text(""", tl AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM corpus)
-SELECT doc_id, CAST(unnest(generate_series(1, len(t))) AS BIGINT) AS pos, unnest(t) AS token FROM tl WHERE len(t) > 0""")
+ORACLE["q_tokens"] = """
+WITH tl AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM documents)
+SELECT doc_id, CAST(unnest(generate_series(1, len(t))) AS BIGINT) AS pos, unnest(t) AS token FROM tl WHERE len(t) > 0"""
 
-ORACLE["q_term_counts"] = with_text("SELECT doc_id, term, CAST(tf AS BIGINT) AS tf FROM tc")
+ORACLE["q_term_counts"] = r"""
+WITH tl AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents)
+SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM tl GROUP BY doc_id, term"""
 
 ORACLE["q_idf"] = with_text("SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
 

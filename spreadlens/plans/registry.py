@@ -60,15 +60,17 @@ def q_avg_degree_centrality(spark, sf_dir):
 @register
 def q_eigenvector_centrality(spark, sf_dir):
     _, e = _daily(spark, sf_dir)
-    return eigen.eigenvector_centrality(e).filter("converged").select(
-        "propagation_id", "vertex", r6("eigenvector_centrality").alias("eigenvector_centrality"), "iterations")
+    return eigen.eigenvector_centrality(e).select(
+        "propagation_id", "vertex", r6("eigenvector_centrality").alias("eigenvector_centrality"), "iterations",
+        "converged")
 
 
 @register
 def q_avg_eigenvector_centrality(spark, sf_dir):
     _, e = _daily(spark, sf_dir)
-    return features.eigenvector_summary(e).filter("eig_converged").select(
-        "propagation_id", r6("eigenvector_centrality").alias("eigenvector_centrality"), "eig_iterations")
+    return features.eigenvector_summary(e).select(
+        "propagation_id", r6("eigenvector_centrality").alias("eigenvector_centrality"), "eig_iterations",
+        "eig_converged")
 
 
 @register
@@ -115,15 +117,15 @@ def _retrieval(spark, sf_dir):
 @register
 def q_tokens(spark, sf_dir):
     from ..functions.text import tokens
-    c = fixtures.corpus(spark, sf_dir)
-    return c.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token")).select(
+    docs = fixtures.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token")).select(
         "doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "token")
 
 
 @register
 def q_term_counts(spark, sf_dir):
     from ..operators import tfidf
-    return tfidf.term_counts(fixtures.corpus(spark, sf_dir))
+    return tfidf.term_counts(fixtures.table(spark, sf_dir, "documents"))
 
 
 @register
