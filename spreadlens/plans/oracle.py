@@ -306,14 +306,14 @@ FIXED_EX = """
          row_number() OVER (PARTITION BY label ORDER BY md5('exemplars' || CAST(doc_id AS VARCHAR)), doc_id) AS pick
   FROM corpus WHERE split = 'train'),
 ex AS (
-  SELECT (CASE WHEN p.label = 'fake' THEN 0 ELSE 1 END) * 3 + p.pick AS slot, c.text AS ex_text, c.label AS ex_label,
+  SELECT row_number() OVER (ORDER BY p.label = 'fake' DESC, p.label, p.pick) AS slot, c.text AS ex_text, c.label AS ex_label,
          c.avg_degree_centrality AS ex_avg_degree_centrality, c.eigenvector_centrality AS ex_eigenvector_centrality,
          c.median_retweet_time AS ex_median_retweet_time
   FROM picks p JOIN corpus c USING (doc_id) WHERE p.pick <= 3)"""
 
 ORACLE["q_prompts_fixed"] = with_graph_text(FIXED_EX + f"""
 , sys AS (SELECT {_system(_P.WITH_GRAPH, True, False)} AS system_prompt FROM ex)
-SELECT t.doc_id, 6 AS num_shots, sys.system_prompt, {_user(_P.WITH_GRAPH, True)} AS user_prompt
+SELECT t.doc_id, CAST((SELECT count(*) FROM ex) AS INTEGER) AS num_shots, sys.system_prompt, {_user(_P.WITH_GRAPH, True)} AS user_prompt
 FROM corpus t JOIN sys ON TRUE WHERE t.split = 'test'""")
 
 
@@ -337,8 +337,8 @@ ORACLE["q_scored_balanced"] = with_graph_text(BAL_EX + vote_sql("ex", "doc_id")
 SELECT doc_id, 'balanced' AS strategy, 'llama3.1:70b' AS model, 3 AS num_shots, raw_answer,
        lower(trim(raw_answer, chr(10))) AS prediction FROM preds""")
 
-ORACLE["q_scored_fixed"] = with_graph_text("""
-SELECT doc_id, 'fixed' AS strategy, 'llama3.1:70b' AS model, 6 AS num_shots, 'Real' || chr(10) AS raw_answer,
+ORACLE["q_scored_fixed"] = with_graph_text(FIXED_EX + """
+SELECT doc_id, 'fixed' AS strategy, 'llama3.1:70b' AS model, CAST((SELECT count(*) FROM ex) AS INTEGER) AS num_shots, 'Real' || chr(10) AS raw_answer,
        'real' AS prediction FROM corpus WHERE split = 'test'""")
 
 ORACLE["q_model_routing"] = with_text("""
@@ -434,12 +434,17 @@ ORACLE["q_metrics_by_num_shots"] = with_text(SWEEP_EX + vote_sql("ex", "doc_id,
   SELECT t.doc_id, p.num_shots, t.label, lower(trim(p.raw_answer, chr(10))) AS prediction
   FROM corpus t JOIN preds p USING (doc_id) WHERE t.split = 'test')""" + metrics_sql("pairs", ["num_shots"]))
 
+LEANING = """CASE WHEN round(coalesce(fv, 0) * (1 + 2 * {t} + (15 - length({m})) / 4.0), 9) > round(coalesce(rv, 0), 9)
+         THEN 'fake' ELSE 'real' END AS prediction"""
+
 ORACLE["q_metrics_by_temperature"] = with_text(TOPK_PREDS + """
-, grid AS (SELECT p.*, CAST(t.temperature AS DOUBLE) AS temperature FROM pairs p
-  JOIN (VALUES (0.0), (0.2), (0.4), (0.6), (0.8), (1.0)) t(temperature) ON TRUE)""" + metrics_sql("grid", ["temperature"]))
+, grid AS (SELECT p.doc_id, p.label, t.temperature, """ + LEANING.format(t="t.temperature", m="'llama3.1:latest'") + """
+  FROM pairs p JOIN votes USING (doc_id)
+  JOIN (SELECT CAST(unnest([0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS DOUBLE) AS temperature) t ON TRUE)""" + metrics_sql("grid", ["temperature"]))
 
 ORACLE["q_metrics_by_model"] = with_text(TOPK_PREDS + """
-, grid AS (SELECT p.*, m.model FROM pairs p
+, grid AS (SELECT p.doc_id, p.label, m.model, """ + LEANING.format(t="0", m="m.model") + """
+  FROM pairs p JOIN votes USING (doc_id)
   JOIN (VALUES ('llama3.2:1b'), ('llama3.2:latest'), ('gemma2:27b')) m(model) ON TRUE)""" + metrics_sql("grid", ["model"]))
 
 

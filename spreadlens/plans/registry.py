@@ -384,10 +384,10 @@ def q_metrics_report(spark, sf_dir):
     return evaluation.metrics_report(evaluation.metrics(pairs, [], "strict"))
 
 
-def _sweep_metrics(spark, sf_dir, shots, temps, sizes, group):
-    from . import sweeps
+def _sweep_metrics(spark, sf_dir, shots, temps, sizes, group, client=None):
+    from . import scoring, sweeps
     _, req = _topk_run(spark, sf_dir, shots, temps, sizes)
-    _, m = sweeps.score_and_evaluate(req, _truth(spark, sf_dir))
+    _, m = sweeps.score_and_evaluate(req, _truth(spark, sf_dir), client or scoring.vote_stub)
     return _metric_select(m, group)
 
 
@@ -399,14 +399,16 @@ def q_metrics_by_num_shots(spark, sf_dir):
 
 @register
 def q_metrics_by_temperature(spark, sf_dir):
-    from . import sweeps
-    return _sweep_metrics(spark, sf_dir, [BALANCED_K], sweeps.TEMPERATURE_GRID, ["8b"], ["temperature"])
+    from . import scoring, sweeps
+    return _sweep_metrics(spark, sf_dir, [BALANCED_K], sweeps.TEMPERATURE_GRID, ["8b"], ["temperature"],
+                          scoring.leaning_stub)
 
 
 @register
 def q_metrics_by_model(spark, sf_dir):
-    from . import sweeps
-    return _sweep_metrics(spark, sf_dir, [BALANCED_K], [0.0], sweeps.MODEL_SIZE_GRID, ["model"])
+    from . import scoring, sweeps
+    return _sweep_metrics(spark, sf_dir, [BALANCED_K], [0.0], sweeps.MODEL_SIZE_GRID, ["model"],
+                          scoring.leaning_stub)
 
 
 # ------------------------------------------------------------------------------------------------ sources & stores

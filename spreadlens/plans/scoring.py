@@ -7,8 +7,9 @@
   (Catalyst cannot push a join through a Python operator), then one append of the new answers. A retried task
   re-scores only its own partition and the store is read back deduplicated, so no key is counted twice.
 
-The offline ``VoteStubClient`` is the deterministic test double used by every registered scoring query: it answers
-with the label carrying the larger similarity-weighted vote among the request's exemplars (ties -> Real).
+The offline ``VoteStubClient`` is the deterministic test double of the registered scoring queries: it answers
+with the label carrying the larger similarity-weighted vote among the request's exemplars (ties -> Real). The
+temperature and model sweeps use ``LeaningStubClient``, whose answers depend on both.
 """
 
 from __future__ import annotations
@@ -39,6 +40,24 @@ def vote_stub() -> VoteStubClient:
     return VoteStubClient()
 
 
+class LeaningStubClient:
+    """Offline client whose answer depends on every input: the fake vote gains weight with the temperature and with
+    shorter model tags, so that the cells of a sweep differ."""
+
+    def complete(self, system: str, user: str, model: str, temperature: float, exemplars) -> str:
+        votes = {"fake": 0.0, "real": 0.0}
+        for ex in exemplars if exemplars is not None else []:
+            label = (ex["label"] or "").lower()
+            if label in votes and ex["similarity"] is not None:
+                votes[label] += float(ex["similarity"])
+        weight = 1 + 2 * temperature + (15 - len(model)) / 4
+        return "Fake\n" if round(votes["fake"] * weight, 9) > round(votes["real"], 9) else "Real\n"
+
+
+def leaning_stub() -> LeaningStubClient:
+    return LeaningStubClient()
+
+
 def score(requests: DataFrame, make_client: Callable[[], object], key_cols: list[str],
           max_parallel_calls: int | None = None) -> DataFrame:
     """requests (key..., system_prompt, user_prompt, model, temperature, exemplars) ->

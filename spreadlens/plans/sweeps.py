@@ -7,7 +7,7 @@ single scoring job plus one grouped aggregate produce the metrics of every cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, knn, retrieval
@@ -111,9 +111,11 @@ def fixed_requests(features: DataFrame, per_label: int = 3, seed: str = "exempla
     attached to every test row as a literal — no join at all."""
     train = features.filter(F.col("split") == "train")
     picks = retrieval.stratified_exemplars(train, per_label, seed)
+    # numbered over the exemplars present, per_label rows of each label at most
+    order = Window.orderBy((F.col("label") == "fake").desc(), "label", "pick")
     ex = picks.join(train.withColumnRenamed("label", "_l"), "doc_id").select(
         F.lit("fixed").alias("strategy"),
-        ((F.when(F.col("label") == "fake", F.lit(0)).otherwise(F.lit(1)) * per_label) + F.col("pick")).alias("slot"),
+        F.row_number().over(order).alias("slot"),
         F.lit("Fixed").alias("kind"), F.col("text").alias("ex_text"), F.col("label").alias("ex_label"),
         *_feature_cols("ex_"), F.lit(None).cast("double").alias("ex_similarity"))
     system = prompts.system_prompts(ex, ["strategy"], prompts.WITH_GRAPH, with_metrics=True, with_kind=False)
@@ -127,7 +129,7 @@ def fixed_requests(features: DataFrame, per_label: int = 3, seed: str = "exempla
         for e in row["exemplars"]
     ])
     req = test.select(
-        "doc_id", F.lit("fixed").alias("strategy"), F.lit(2 * per_label).alias("num_shots"),
+        "doc_id", F.lit("fixed").alias("strategy"), F.lit(len(row["exemplars"])).alias("num_shots"),
         F.lit(row["system_prompt"]).alias("system_prompt"),
         prompts.user_prompt(prompts.WITH_GRAPH, True).alias("user_prompt"), exemplars.alias("exemplars"))
     return grid(req, [0.0], [model_size]), test.select("doc_id", "label")
