@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from ..functions.text import WHITESPACE, sql_str_literal
 
-# ---------------------------------------------------------------- graph fixtures (events -> daily graphs)
+# ---------------------------------------------------------------- graph fixtures (events -> one graph per document)
 GRAPH_CTES = """
 ev AS (
   SELECT event_id, ts, CAST(user_id AS VARCHAR) AS uid, epoch_us(ts) AS micros,
-         epoch_us(ts) // 86400000000 - min(epoch_us(ts) // 86400000000) OVER () AS graph_idx
+         event_id % (SELECT greatest(count(*), 1) FROM documents) AS graph_idx
   FROM events),
 pe AS (
-  SELECT 'prop_' || lpad(CAST(graph_idx AS VARCHAR), 5, '0') || '.json' AS propagation_id, graph_idx, event_id, ts, uid,
+  SELECT 'prop_' || lpad(CAST(graph_idx AS VARCHAR), 12, '0') || '.json' AS propagation_id, graph_idx, event_id, ts, uid,
          row_number() OVER (PARTITION BY graph_idx ORDER BY ts, event_id) - 1 AS pos,
          count(*) OVER (PARTITION BY graph_idx) AS n_events,
          (micros - min(micros) OVER (PARTITION BY graph_idx)) / 1e6 AS delay
@@ -26,11 +26,10 @@ edges AS (SELECT DISTINCT propagation_id, least(source, target) AS a, greatest(s
 verts AS (SELECT propagation_id, a AS vertex FROM edges UNION SELECT propagation_id, b FROM edges),
 nv AS (SELECT propagation_id, count(*) AS n FROM verts GROUP BY propagation_id),
 props AS (
-  SELECT g.propagation_id, g.graph_idx, d.text,
-         coalesce(CASE WHEN l.toxic = 1 THEN 'fake' WHEN l.toxic IS NOT NULL THEN 'real' END, 'real') AS label
+  SELECT g.propagation_id, g.graph_idx, d.text, CASE WHEN l.toxic = 1 THEN 'fake' ELSE 'real' END AS label
   FROM (SELECT propagation_id, graph_idx FROM pe WHERE pos = 0) g
-  LEFT JOIN documents d ON d.doc_id = g.graph_idx
-  LEFT JOIN labels l ON l.doc_id = g.graph_idx)
+  JOIN documents d ON d.doc_id = g.graph_idx
+  JOIN labels l ON l.doc_id = g.graph_idx)
 """
 
 EIGEN_CTES = """
@@ -104,7 +103,7 @@ MEDIAN_SQL = """
 
 ORACLE["q_median_delay"] = with_graph(MEDIAN_SQL + """
 SELECT p.propagation_id, round(coalesce(med.median_retweet_time, 0), 6) AS median_retweet_time
-FROM props p LEFT JOIN med USING (propagation_id)""")
+FROM (SELECT propagation_id FROM pe WHERE pos = 0) p LEFT JOIN med USING (propagation_id)""")
 
 FEATURES_SQL = AVG_DEGREE_SQL + MEDIAN_SQL + """
 , eigs AS (SELECT propagation_id, avg(eigenvector_centrality) AS eigenvector_centrality FROM eig GROUP BY propagation_id),
@@ -458,7 +457,8 @@ ORACLE["q_corpus_scan"] = with_graph("SELECT propagation_id, text, label FROM pr
 ORACLE["q_true_labels"] = with_graph("SELECT propagation_id, label FROM props")
 ORACLE["q_root_text"] = with_graph("SELECT propagation_id, text FROM props")
 ORACLE["q_retweet_delays"] = with_graph("""
-SELECT propagation_id, CAST(pos AS BIGINT) AS pos, round(delay, 6) AS delay FROM pe WHERE pos >= 1""")
+SELECT propagation_id, CAST(pos AS BIGINT) AS pos, round(delay, 6) AS delay
+FROM pe JOIN props USING (propagation_id) WHERE pos >= 1""")
 ORACLE["q_record_features"] = ORACLE["q_propagation_features"]
 
 ORACLE["q_predictions_scan"] = with_text(TOPK_PREDS + """
@@ -472,7 +472,7 @@ ORACLE["q_pending"] = with_text("""
 SELECT c.doc_id, k.num_shots FROM corpus c JOIN (SELECT CAST(unnest(range(5, 9)) AS INTEGER) AS num_shots) k ON TRUE
 WHERE c.split = 'test'""")
 ORACLE["q_incremental_score"] = with_graph_text(BAL_EX + vote_sql("ex", "doc_id") + """
-SELECT 'prop_' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || '.json' AS propagation_id, 'balanced' AS strategy,
+SELECT 'prop_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.json' AS propagation_id, 'balanced' AS strategy,
        'llama3.1:70b' AS model, 3 AS num_shots, lower(trim(raw_answer, chr(10))) AS prediction FROM preds""")
 
 _CHAIN_EDGES = """raw_edges AS (

@@ -26,40 +26,40 @@ def r6(c) -> F.Column:
 
 
 # ------------------------------------------------------------------------------------------------ graphs
-def _daily(spark: SparkSession, sf_dir: str):
-    ev = fixtures.graph_events(spark, sf_dir, "day")
+def _graphs(spark: SparkSession, sf_dir: str):
+    ev = fixtures.graph_events(spark, sf_dir)
     return ev, graph.undirected_edges(fixtures.graph_edges(ev, "chain"))
 
 
 @register
 def q_undirected_edges(spark, sf_dir):
-    _, e = _daily(spark, sf_dir)
+    _, e = _graphs(spark, sf_dir)
     return e
 
 
 @register
 def q_graph_vertices(spark, sf_dir):
-    _, e = _daily(spark, sf_dir)
+    _, e = _graphs(spark, sf_dir)
     return graph.vertices(e)
 
 
 @register
 def q_degree_centrality(spark, sf_dir):
-    _, e = _daily(spark, sf_dir)
+    _, e = _graphs(spark, sf_dir)
     return graph.degree_centrality(e).select(
         "propagation_id", "vertex", "degree", r6("degree_centrality").alias("degree_centrality"))
 
 
 @register
 def q_avg_degree_centrality(spark, sf_dir):
-    _, e = _daily(spark, sf_dir)
+    _, e = _graphs(spark, sf_dir)
     return graph.avg_degree_centrality(e).select(
         "propagation_id", "n_vertices", "n_edges", r6("avg_degree_centrality").alias("avg_degree_centrality"))
 
 
 @register
 def q_eigenvector_centrality(spark, sf_dir):
-    _, e = _daily(spark, sf_dir)
+    _, e = _graphs(spark, sf_dir)
     return eigen.eigenvector_centrality(e).select(
         "propagation_id", "vertex", r6("eigenvector_centrality").alias("eigenvector_centrality"), "iterations",
         "converged")
@@ -67,7 +67,7 @@ def q_eigenvector_centrality(spark, sf_dir):
 
 @register
 def q_avg_eigenvector_centrality(spark, sf_dir):
-    _, e = _daily(spark, sf_dir)
+    _, e = _graphs(spark, sf_dir)
     return features.eigenvector_summary(e).select(
         "propagation_id", r6("eigenvector_centrality").alias("eigenvector_centrality"), "eig_iterations",
         "eig_converged")
@@ -75,22 +75,22 @@ def q_avg_eigenvector_centrality(spark, sf_dir):
 
 @register
 def q_median_delay(spark, sf_dir):
-    ev = fixtures.graph_events(spark, sf_dir, "day")
+    ev = fixtures.graph_events(spark, sf_dir)
     props = ev.filter(F.col("pos") == 0).select("propagation_id")
     med = graph.median_delay_sorted(fixtures.graph_delays(ev))
     return props.join(med, "propagation_id", "left").select(
         "propagation_id", r6(F.coalesce(F.col("median_retweet_time"), F.lit(0.0))).alias("median_retweet_time"))
 
 
-def daily_features(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
-    ev = ev if ev is not None else fixtures.graph_events(spark, sf_dir, "day")
+def graph_features(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
+    ev = ev if ev is not None else fixtures.graph_events(spark, sf_dir, labelled=True)
     props = fixtures.propagations(spark, sf_dir, ev)
     return features.propagation_features(props, fixtures.graph_edges(ev, "chain"), fixtures.graph_delays(ev))
 
 
 @register
 def q_propagation_features(spark, sf_dir):
-    f = daily_features(spark, sf_dir)
+    f = graph_features(spark, sf_dir)
     return f.select(
         "propagation_id", "text", "label",
         r6("avg_degree_centrality").alias("avg_degree_centrality"),
@@ -220,8 +220,8 @@ def _topk_run(spark, sf_dir, shots, temperatures=(0.0,), sizes=("8b",)):
 
 
 def graph_corpus(spark, sf_dir, ev: DataFrame | None = None) -> DataFrame:
-    """Daily propagation feature rows as a labelled corpus: doc_id = graph index, split by graph index."""
-    f = daily_features(spark, sf_dir, ev)
+    """Propagation feature rows as a labelled corpus: doc_id = graph index, split by graph index."""
+    f = graph_features(spark, sf_dir, ev)
     # read by the fit, both transforms, the exemplar and the test side: computed once (graphs + power iteration)
     # and checkpointed, which also cuts the lineage the retrieval plans would otherwise re-analyse
     return f.select(F.col("graph_idx").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
@@ -415,7 +415,7 @@ def q_metrics_by_model(spark, sf_dir):
 def _records_path(spark, sf_dir, test_only=False, files=None, ev=None):
     from ..session import scratch_path
     from ..sources import propagation_json
-    ev = ev if ev is not None else fixtures.graph_events(spark, sf_dir, "day")
+    ev = ev if ev is not None else fixtures.graph_events(spark, sf_dir, labelled=True)
     rec = fixtures.propagation_records(spark, sf_dir, ev, "chain")
     if test_only:
         rec = rec.join(ev.filter("pos = 0").select("propagation_id", "graph_idx"), "propagation_id").filter(
@@ -526,7 +526,7 @@ def q_pending(spark, sf_dir):
 def q_incremental_score(spark, sf_dir):
     from ..session import scratch_path
     from ..streaming.incremental import incremental_score
-    ev = fixtures.graph_events(spark, sf_dir, "day")                          # numbered once, read by both
+    ev = fixtures.graph_events(spark, sf_dir, labelled=True)                          # numbered once, read by both
     input_dir = _records_path(spark, sf_dir, test_only=True, files=2, ev=ev)  # two file drops -> two micro-batches
     train = graph_corpus(spark, sf_dir, ev).filter(F.col("split") == "train")
     out = incremental_score(spark, input_dir, scratch_path(spark, "stream-store"),
@@ -537,7 +537,7 @@ def q_incremental_score(spark, sf_dir):
 @register
 def q_star_propagation_features(spark, sf_dir):
     """Feature rows when each graph is a star (first user linked to every later user) instead of a chain."""
-    ev = fixtures.graph_events(spark, sf_dir, "day")
+    ev = fixtures.graph_events(spark, sf_dir, labelled=True)
     props = fixtures.propagations(spark, sf_dir, ev)
     f = features.propagation_features(props, fixtures.graph_edges(ev, "star"), fixtures.graph_delays(ev))
     return f.select(

@@ -2,13 +2,15 @@
 
 * text corpus  = documents JOIN labels on doc_id; label = 'fake' when toxic = 1 else 'real';
   split = 'test' when doc_id % 5 = 0 else 'train' (the whole corpus is used, split is a data rule).
-* propagation graphs = events, one graph per time bucket (day by default). Events of a bucket ordered by
-  (ts, event_id) are the nodes; node 0 is the original post, the others are reposts whose delay is the seconds
-  since the bucket's first event. Chain shape: edge (previous user, user); star shape: edge (first user, user).
-* propagation text / label = documents / labels row with doc_id = zero-based bucket index, label default 'real'.
+* propagation graphs = events, one graph per document: event_id modulo the number of documents. Events of a graph
+  ordered by (ts, event_id) are the nodes; node 0 is the original post, the others are reposts whose delay is the
+  seconds since the first event. Chain shape: edge (previous user, user); star shape: edge (first user, user).
+  (One graph per day or hour can be had instead; those graphs grow with the data, their number does not.)
+* propagation text / label = documents / labels row with doc_id = graph index; graphs of unlabelled documents have
+  no propagation row.
 
 Everything is returned in long form (one row per event / edge) so no graph is ever gathered into one row or task;
-positions inside a bucket come from the range-partitioned numbering in ``operators.ordering``.
+positions inside a graph come from the range-partitioned numbering in ``operators.ordering``.
 """
 
 from __future__ import annotations
@@ -55,25 +57,41 @@ def epoch_micros(df: DataFrame, col: str) -> F.Column:
 
 
 def propagation_id(idx: F.Column) -> F.Column:
-    return F.concat(F.lit("prop_"), F.lpad(idx.cast("string"), 5, "0"), F.lit(".json"))
+    return F.concat(F.lit("prop_"), F.lpad(idx.cast("string"), 12, "0"), F.lit(".json"))
 
 
-def graph_events(spark: SparkSession, sf_dir: str, granularity: str = "day", checkpoint: bool = True) -> DataFrame:
+def graph_events(spark: SparkSession, sf_dir: str, granularity: str = "document", labelled: bool = False) -> DataFrame:
     """(propagation_id, graph_idx, event_id, ts, uid, pos, n_events, delay) — one row per event.
 
-    ``pos`` is the 0-based position inside the bucket by (ts, event_id); ``delay`` is seconds since pos 0.
+    ``pos`` is the 0-based position inside the graph by (ts, event_id); ``delay`` is seconds since pos 0.
+    ``labelled`` keeps the graphs of labelled documents only, before anything is sorted.
     """
-    return graph_events_from(table(spark, sf_dir, "events"), granularity, checkpoint)
-
-
-def graph_events_from(events: DataFrame, granularity: str = "day", checkpoint: bool = True) -> DataFrame:
-    """``graph_events`` over any (event_id, ts, user_id) DataFrame."""
+    events = table(spark, sf_dir, "events")
+    if granularity == "document":
+        n_docs = max(table(spark, sf_dir, "documents").count(), 1)          # read from the file footers
+        events = events.withColumn("graph_idx", F.col("event_id") % F.lit(n_docs).cast("long"))
+    else:
+        events = with_time_buckets(events, granularity)
+    if labelled:
+        ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("graph_idx"))
+        events = events.join(ids, "graph_idx", "left_semi")
+    return graph_events_from(events)
+
+
+def with_time_buckets(events: DataFrame, granularity: str) -> DataFrame:
+    """``graph_idx`` = zero-based day or hour of an event."""
     unit = BUCKET_MICROS[granularity]
-    ev = events.select("event_id", "ts", "user_id")
-    ev = ev.withColumn("_micros", epoch_micros(ev, "ts")).withColumn("_bucket", F.expr(f"_micros div {unit}"))
+    ev = events.withColumn("_micros", epoch_micros(events, "ts"))
+    ev = ev.withColumn("_bucket", F.expr(f"_micros div {unit}")).drop("_micros")
     first_bucket = ev.select(F.min("_bucket")).scalar()
-    ev = ev.withColumn("graph_idx", (F.col("_bucket") - first_bucket).cast("long")).drop("_bucket")
-    ev = positions_within_groups(ev, ["graph_idx"], ["ts", "event_id"], size_col="n_events", checkpoint=checkpoint)
+    return ev.withColumn("graph_idx", (F.col("_bucket") - first_bucket).cast("long")).drop("_bucket")
+
+
+def graph_events_from(events: DataFrame) -> DataFrame:
+    """``graph_events`` over any (graph_idx, event_id, ts, user_id) DataFrame."""
+    ev = events.select("graph_idx", "event_id", "ts", "user_id")
+    ev = ev.withColumn("_micros", epoch_micros(ev, "ts"))
+    ev = positions_within_groups(ev, ["graph_idx"], ["ts", "event_id"], size_col="n_events")
     first = ev.groupBy("graph_idx").agg(F.min("_micros").alias("_first_micros"))
     ev = ev.join(first, "graph_idx")
     return ev.select(
@@ -106,25 +124,12 @@ def graph_delays(events: DataFrame) -> DataFrame:
 
 
 def propagations(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
-    """One row per graph: (propagation_id, graph_idx, text, label). Text/label from doc_id = graph index."""
+    """One row per graph of a labelled document: (propagation_id, graph_idx, text, label)."""
     graphs = events.filter(F.col("pos") == 0).select("propagation_id", "graph_idx")
-    ids = graphs.select("graph_idx")
-    # semi-join first: the per-graph id list is the small side, so the large text table is filtered where it is
-    # read instead of being shuffled whole into a left outer join (which can only broadcast its right side)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("graph_idx"), "text").join(
-        ids, "graph_idx", "left_semi")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("graph_idx"), "toxic").join(
-        ids, "graph_idx", "left_semi")
-    return (
-        graphs.join(docs, "graph_idx", "left")
-        .join(labels, "graph_idx", "left")
-        .select(
-            "propagation_id",
-            "graph_idx",
-            "text",
-            F.coalesce(label_expr(F.col("toxic")), F.lit("real")).alias("label"),
-        )
-    )
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("graph_idx"), "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("graph_idx"), "toxic")
+    return graphs.join(labels, "graph_idx").join(docs, "graph_idx").select(
+        "propagation_id", "graph_idx", "text", label_expr(F.col("toxic")).alias("label"))
 
 
 def propagation_records(spark: SparkSession, sf_dir: str, events: DataFrame, shape: str = "chain") -> DataFrame:

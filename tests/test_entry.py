@@ -46,7 +46,7 @@ def test_oracle_sample(spark, name):
 
 
 def test_runs_from_outside_the_repo_in_a_default_session(tmp_path):
-    """Executors must not need the package on their path (functions are pickled by value), and event-time bucketing
+    """Executors must not need the package on their path (functions are pickled by value), and event times
     must not depend on the session time zone."""
     import os
     import subprocess
@@ -70,4 +70,4 @@ print('RESULT', len(rows), ids[0], n)
     line = [l for l in out.stdout.splitlines() if l.startswith("RESULT")]
     assert line, out.stderr[-2000:]
     _, n_rows, first_id, n_dense = line[0].split()
-    assert int(n_rows) > 0 and first_id == "prop_00000.json" and int(n_dense) > 0
+    assert int(n_rows) > 0 and first_id.startswith("prop_0000000") and int(n_dense) > 0

@@ -29,6 +29,17 @@ def test_graph_events_invariants(spark):
     assert chain.count() == ev.count() - first.count()
 
 
+def test_graphs_and_propagations_grow_with_the_tables(spark):
+    """One graph per document; a propagation row for every labelled document that has events, and for no other."""
+    ev = fixtures.graph_events(spark, SF001)
+    docs, labels = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "labels"))
+    assert ev.select("graph_idx").distinct().count() == docs.count()
+    some = fixtures.graph_events(spark, SF001, labelled=True)
+    got = {r.graph_idx for r in fixtures.propagations(spark, SF001, some).select("graph_idx").collect()}
+    assert got == {r.doc_id for r in labels.collect()}
+    assert some.count() == ev.join(labels, ev.graph_idx == labels.doc_id).count()
+
+
 def test_hot_day_features_equal_window_reference(spark):
     """One day holds ~40% of all events: positions, chain edges and the median delay still equal a plain
     row_number / percentile computation, and the hot day is numbered by several tasks."""
@@ -42,7 +53,7 @@ def test_hot_day_features_equal_window_reference(spark):
         day = 0 if i % 5 < 2 else 1 + i % 7
         rows.append((i, base + dt.timedelta(days=day, seconds=(i * 7919) % 86000), (i * 31) % 97))
     events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")
-    ev = fixtures.graph_events_from(events, "day")
+    ev = fixtures.graph_events_from(fixtures.with_time_buckets(events, "day"))
     hot = ev.filter("graph_idx = 0")
     assert hot.count() == 2400
     numbered = positions_within_groups(events.withColumn("d", F.to_date("ts")), ["d"], ["ts", "event_id"],
