@@ -4,13 +4,16 @@ Counts. Every training document's words (and one end token) are counted per task
 distinct tokens stay a distributed table. Its ``FREQUENT`` most frequent tokens (of at most ``MAX_TOKEN`` bytes) are
 broadcast, a bounded table; the other tokens of the documents, a small share, meet their counts in a join on the token.
 
-Model. Outputs are the ``OUTPUTS - 1`` most frequent tokens and one class for all others, inside which a token has
-its smoothed count's share, so the probabilities of all tokens sum to one. Inputs are the ``INPUTS`` most frequent
-tokens and one for all others. The context of a token is the sum of the ``CONTEXT`` tokens before it in the document,
-each embedded and scaled by a vector for its position; logits are products with the output vectors plus biases. Each
-task trains on all its documents by noise-contrastive estimation from one common start, and the tasks' parameters are
-averaged by their token numbers, in blocks, on the cluster. Scoring multiplies batches of contexts with all output
-vectors, so log-probabilities are normalised exactly.
+Model. The vocabulary is all of the frequent tier, so it grows with the counts up to ``FREQUENT`` tokens; all other
+tokens are one more outcome, inside which a token has its smoothed count's share, so the probabilities of all tokens
+sum to one. A token is predicted in two levels: its class given the context, then the token given class and context.
+Classes are runs of ranks, about sqrt(V) of about sqrt(V) tokens, short ones for the most frequent. Inputs are the same
+tokens, one for all others and one for the place before a document. The context of a token is the sum of the
+``CONTEXT`` tokens before it in the document, each embedded and scaled by a vector for its position; logits are
+products with the vectors of classes and tokens plus biases. Each task trains both levels on all its documents by
+noise-contrastive estimation from one common start and changes only rows that its tokens meet; every row is averaged
+over the tasks by how often they changed it, in blocks, on the cluster. Scoring multiplies batches of contexts with all
+class vectors and with all token vectors of the class, so log-probabilities are normalised exactly.
 
 Nulls: a null text is an empty one, that is one end token. Without training tokens every probability is that of the
 empty counts. An empty table gives no rows; repeated rows are counted and scored each; extra columns are ignored.
@@ -29,17 +32,23 @@ from .common import fold, free_shuffles, most_frequent, small_batches, stage, wh
 
 FREQUENT = 1 << 18
 MAX_TOKEN = 64
-OUTPUTS = 256
-INPUTS = 4096
+#: Outcomes that a model can tell apart at most: the frequent tier and one for all other tokens.
+OUTPUTS = FREQUENT + 1
 CONTEXT = 3
 WIDTH = 16
+#: Noise classes of a step, and noise tokens of a step in every class that it meets.
 NOISE = 16
+INNER = 4
 BATCH = 1024
+#: Logits that are worked on at once, so that they stay in a core's cache.
+CELLS = 1 << 17
 #: Tokens and rate of a training step.
 STEP = 1024
 RATE = 0.1
 #: Distinct tokens a task holds before it passes their counts on.
 HELD = 400_000
+#: Rows of parameters that are averaged at once.
+ROWS = 8192
 #: The end of a document, as a token; no word holds white space.
 END = b"\n"
 LOG10 = np.log(10.0)
@@ -79,132 +88,173 @@ class Tables:
         ranked = [(END, end)] + [(t, c) for t, c in frequent if t != END]
         self.ids = {t: i for i, (t, _) in enumerate(ranked)}
         self.log_c = np.log10(np.array([c for _, c in ranked], float) + 0.5)
-        self.tops = min(OUTPUTS - 1, len(ranked))
-        top = np.array([c for _, c in ranked[: self.tops]], float)
+        self.words = len(ranked)
+        known = np.array([c for _, c in ranked], float)
         self.total, self.distinct = total, distinct
-        rest = total - top.sum()
+        rest = total - known.sum()
         self.base = float(np.log10(total + 0.5 * (distinct + 1)))
-        self.rest = float(np.log10(rest + 0.5 * (max(distinct - self.tops, 0) + 1)))
-        share = np.zeros(OUTPUTS)
-        share[: self.tops] = top
-        share[OUTPUTS - 1] = rest + 0.5
-        self.share = (share + 1e-3) / (share + 1e-3).sum()
+        self.rest = float(np.log10(rest + 0.5 * (max(distinct - self.words, 0) + 1)))
+        share = np.append(known, rest + 0.5) + 1e-3
+        self.share = share / share.sum()
 
     def coded(self, tokens: list[bytes]):
         """Ids of frequent tokens; -1 for others."""
         get = self.ids.get
         return np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
 
-    def classes(self, ids):
-        return np.where((ids < 0) | (ids >= self.tops), OUTPUTS - 1, ids)
+    def outcomes(self, ids):
+        """Frequent tokens are their own outcome; all others share the last one."""
+        return np.where(ids < 0, self.words, ids)
 
-    @staticmethod
-    def inputs(ids):
-        return np.where((ids < 0) | (ids >= INPUTS - 1), INPUTS - 1, ids)
 
-
-def contexts(ids, length):
-    """(tokens, CONTEXT) input ids of the tokens before each token; before a document's start stands ``INPUTS``."""
-    n = len(ids)
+def contexts(outcomes, length, words: int):
+    """(tokens, CONTEXT) inputs of the tokens before each token; before a document's start stands ``words + 1``."""
+    n = len(outcomes)
     place = np.arange(n) - np.repeat(np.cumsum(length) - length, length)
-    known = Tables.inputs(ids)
-    out = np.full((n, CONTEXT), INPUTS, np.int64)
+    out = np.full((n, CONTEXT), words + 1, np.int64)
     for k in range(CONTEXT):
-        out[k + 1:, k] = known[: n - k - 1]
-        out[place <= k, k] = INPUTS
+        out[k + 1:, k] = outcomes[: max(0, n - k - 1)]
+        out[place <= k, k] = words + 1
     return out
 
 
-class Model:
-    """Parameters as one vector, viewed as input vectors, position scales, output vectors and biases."""
+def class_bounds(words: int):
+    """First outcome of each class, and the number of outcomes: sqrt(words) runs of ranks that grow in length, and the
+    outcome of all other tokens by itself."""
+    k = int(np.ceil(np.sqrt(words)))
+    return np.append(np.unique(np.rint(words * (np.arange(k + 1) / k) ** 2).astype(np.int64)), words + 1)
 
-    SHAPES = ((INPUTS + 1, WIDTH), (CONTEXT, WIDTH), (OUTPUTS, WIDTH), (OUTPUTS,))
 
-    def __init__(self, vector):
-        self.vector, at, parts = vector, 0, []
-        for shape in self.SHAPES:
-            size = int(np.prod(shape))
-            parts.append(vector[at:at + size].reshape(shape))
-            at += size
-        self.inputs, self.scales, self.outputs, self.biases = parts
+class Model:
+    """Parameters as one matrix, a bias in its last column, viewed as the rows of inputs, outputs, classes and positions."""
 
-    @classmethod
-    def size(cls) -> int:
-        return sum(int(np.prod(s)) for s in cls.SHAPES)
+    def __init__(self, matrix, outcomes: int):
+        self.matrix, self.bounds = matrix, class_bounds(outcomes - 1)
+        self.sizes = np.diff(self.bounds)
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.first = np.cumsum([0, outcomes + 1, outcomes, len(self.sizes)])
+        self.inputs, self.outputs, self.heads, self.scales = np.split(matrix, self.first[1:])
 
     @classmethod
     def start(cls, share, seed: int = 5) -> Model:
-        r = np.random.default_rng(seed)
-        m = cls(r.normal(0, 0.1, cls.size()).astype(np.float32))
+        n = len(share)
+        bounds = class_bounds(n - 1)
+        rows = n + 1 + n + len(bounds) - 1 + CONTEXT
+        m = cls(np.random.default_rng(seed).standard_normal((rows, WIDTH + 1), np.float32) * np.float32(0.1), n)
+        classes = np.add.reduceat(share, bounds[:-1])
+        m.inputs[:, WIDTH] = 0
         m.scales[:] = 1.0 / np.arange(1, CONTEXT + 1)[:, None] ** 0.5
-        m.biases[:] = np.log(share)
+        m.outputs[:, WIDTH] = np.log(share / classes[m.of])
+        m.heads[:, WIDTH] = np.log(classes)
         return m
 
     def context(self, before):
-        return sum(self.inputs[before[:, k]] * self.scales[k] for k in range(CONTEXT))
+        """Sums of the scaled inputs, and a one for the bias."""
+        return self.summed(self.inputs[before])
+
+    def summed(self, inputs):
+        out = np.einsum("nkd,kd->nd", inputs, self.scales)
+        out[:, WIDTH] = 1
+        return out
 
     def log_probabilities(self, before, target):
-        """Normalised natural log-probability of each target class."""
+        """Normalised natural log-probability of each target outcome."""
+        order = np.argsort(target, kind="stable")
+        own, kind = target[order], self.of[target[order]]
         out = np.empty(len(target))
-        weights = np.vstack([self.outputs.T, self.biases])
-        room, lines = np.empty((BATCH, OUTPUTS), np.float32), np.arange(BATCH)
-        c = np.ones((BATCH, WIDTH + 1), np.float32)
-        ones = np.ones(OUTPUTS, np.float32)
+        c = np.empty((len(target), WIDTH + 1), np.float32)
         for a in range(0, len(target), BATCH):
-            n = min(BATCH, len(target) - a)
-            c[:n, :WIDTH] = self.context(before[a:a + n])
-            logits = np.matmul(c[:n], weights, out=room[:n])
-            own = logits[lines[:n], target[a:a + n]]
-            high = float(logits.max()) if n else 0.0
-            shift = max(0.0, high - 60.0)      # only very large logits need one
-            if shift:
-                logits -= np.float32(shift)
-            norm = np.log(np.exp(logits, out=logits) @ ones)
-            out[a:a + n] = own - norm - shift
+            c[a:a + BATCH] = self.context(before[order[a:a + BATCH]])
+        out[order] = log_softmax(c, self.heads, kind)
+        cuts = np.flatnonzero(np.diff(kind, prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            low, high = self.bounds[kind[a]:kind[a] + 2]
+            if high - low > 1:
+                out[order[a:b]] += log_softmax(c[a:b], self.outputs[low:high], own[a:b] - low)
         return out
 
 
+def log_softmax(c, rows, own):
+    """log(softmax(c rows')) of the column ``own`` of each line."""
+    out, weights, ones = np.empty(len(own)), np.ascontiguousarray(rows.T), np.ones(len(rows), np.float32)
+    size = lambda x: np.sqrt(np.einsum("ij,ij->i", x, x).max()) if len(x) else 0.0
+    small = size(c) * size(rows) < 60      # only very large logits need a shift
+    step = max(16, CELLS // len(rows))
+    for a in range(0, len(own), step):
+        logits = c[a:a + step] @ weights
+        mine = logits[np.arange(len(logits)), own[a:a + step]].astype(np.float64)
+        if not small:
+            shift = logits.max(axis=1)
+            logits -= shift[:, None]
+            mine -= shift
+        out[a:a + step] = mine - np.log(np.exp(logits, out=logits) @ ones)
+    return out
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Trainer:
-    """Noise-contrastive estimation with Adagrad; the noise of a batch is shared by its tokens."""
+    """Noise-contrastive estimation with Adagrad on the rows that a step meets. The noise classes of a step, and the noise
+    tokens of each class, evenly drawn, are shared by its tokens."""
 
     def __init__(self, share, seed: int):
         self.m = Model.start(share)
-        self.sums = Model(np.full(Model.size(), 1.0, np.float32))
+        self.sums = np.ones_like(self.m.matrix)
+        self.met = np.zeros(len(self.sums), np.float32)
         self.random = np.random.default_rng(seed)
-        self.log_noise = np.log(NOISE * share).astype(np.float32)
-        self.draw = np.cumsum(share)
-        self.seen = 0
+        classes = np.add.reduceat(share, self.m.bounds[:-1])
+        self.log_noise = np.log(NOISE * classes).astype(np.float32)
+        self.log_inner = np.log(INNER / self.m.sizes).astype(np.float32)
+        self.draw = np.cumsum(classes)
+
+    def change(self, part: int, rows, grads):
+        """An Adagrad step of the rows of a part of the matrix; the gradients of equal rows are added."""
+        order = np.argsort(rows, kind="stable")
+        r = rows[order]
+        cuts = np.flatnonzero(np.diff(r, prepend=-1))
+        v, at = np.add.reduceat(grads[order], cuts, axis=0), r[cuts] + self.m.first[part]
+        s = self.sums[at] + v * v
+        self.sums[at] = s
+        self.m.matrix[at] -= np.float32(RATE) * v / np.sqrt(s)
+        self.met[at] += 1
 
     def step(self, before, target):
-        m, n = self.m, len(target)
-        noise = np.minimum(np.searchsorted(self.draw, self.random.random(NOISE)), OUTPUTS - 1)
-        c = m.context(before)
-        own = np.einsum("ij,ij->i", c, m.outputs[target]) + m.biases[target] - self.log_noise[target]
-        other = c @ m.outputs[noise].T + m.biases[noise] - self.log_noise[noise]
-        g = -(1 / (1 + np.exp(np.clip(own, -30, 30)))) / n
-        h = (1 / (1 + np.exp(-np.clip(other, -30, 30)))) / n
-        dc = g[:, None] * m.outputs[target] + h @ m.outputs[noise]
-        grad = Model(np.zeros(Model.size(), np.float32))
-        grad.biases[:] = np.bincount(target, g, OUTPUTS) + np.bincount(noise, h.sum(axis=0), OUTPUTS)
-        near = g[:, None] * c
-        for d in range(WIDTH):
-            grad.outputs[:, d] = np.bincount(target, near[:, d], OUTPUTS)
-        np.add.at(grad.outputs, noise, h.T @ c)
-        place, scaled = before.T.ravel(), np.concatenate([dc * s for s in m.scales])
-        for d in range(WIDTH):
-            grad.inputs[:, d] = np.bincount(place, scaled[:, d], INPUTS + 1)
-        for k in range(CONTEXT):
-            grad.scales[k] = np.einsum("ij,ij->j", dc, m.inputs[before[:, k]])
-        v, s = grad.vector * STEP, self.sums.vector
-        s += v * v
-        m.vector -= RATE * v / np.sqrt(s)
-        self.seen += n
+        m, order = self.m, np.argsort(target, kind="stable")
+        before, target = before[order], target[order]
+        x = m.inputs[before]
+        c, kind = m.summed(x), m.of[target]
+        noise = np.minimum(np.searchsorted(self.draw, self.random.random(NOISE)), len(self.draw) - 1)
+        heads, others = m.heads[kind], m.heads[noise]
+        g = -sigmoid(self.log_noise[kind] - np.einsum("ij,ij->i", c, heads))[:, None]
+        h = sigmoid(c @ others.T - self.log_noise[noise])
+        dc = g * heads + h @ others
+        inner = []
+        deep = np.flatnonzero(m.sizes[kind] > 1)
+        if len(deep):
+            cc, own, k = c[deep], target[deep], kind[deep]
+            cuts = np.flatnonzero(np.diff(k, prepend=-1))
+            at = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(k))))
+            drawn = (np.arange(INNER) + self.random.random((len(cuts), INNER))) / INNER
+            ids = m.bounds[k[cuts]][:, None] + (drawn * m.sizes[k[cuts]][:, None]).astype(np.int64)
+            rows, others = m.outputs[own], m.outputs[ids][at]
+            gi = -sigmoid(self.log_inner[k] - np.einsum("ij,ij->i", cc, rows))[:, None]
+            hi = sigmoid(np.einsum("jrd,jd->jr", others, cc) - self.log_inner[k][:, None])
+            dc[deep] += gi * rows + np.einsum("jr,jrd->jd", hi, others)
+            away = np.add.reduceat(hi[:, :, None] * cc[:, None, :], cuts, axis=0).reshape(-1, WIDTH + 1)
+            inner = [np.concatenate([own, ids.ravel()]), np.concatenate([gi * cc, away])]
+        dc[:, WIDTH] = 0
+        scales = np.einsum("nd,nkd->kd", dc, x)
+        self.change(0, before.ravel(), (dc[:, None, :] * m.scales).reshape(-1, WIDTH + 1))
+        if inner:
+            self.change(1, *inner)
+        self.change(2, np.concatenate([kind, noise]), np.concatenate([g * c, h.T @ c]))
+        self.change(3, np.arange(CONTEXT), scales)
 
 
 def trained(docs: DataFrame, tables) -> Model:
-    """The average of the models that the tasks trained on the rows of ``docs``."""
-    blocks = 64
-
+    """The rows of the models that the tasks trained on the rows of ``docs``, averaged."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -215,29 +265,37 @@ def trained(docs: DataFrame, tables) -> Model:
             if not docs_ids:
                 continue
             trainer = trainer or Trainer(t.share, 17)
-            ids, length = np.concatenate(docs_ids), np.array([len(x) for x in docs_ids])
-            before, target = contexts(ids, length), t.classes(ids)
+            target, length = t.outcomes(np.concatenate(docs_ids)), np.array([len(x) for x in docs_ids])
+            before = contexts(target, length, t.words)
             for a in range(0, len(target), STEP):
                 trainer.step(before[a:a + STEP], target[a:a + STEP])
         if trainer:
-            parts = np.array_split(trainer.m.vector.astype(np.float64) * trainer.seen, blocks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(blocks), pa.int32()), pa.array([trainer.seen] * blocks, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["block", "n", "sums"],
-            )
+            for block in range(-(-len(trainer.met) // ROWS)):
+                at = np.flatnonzero(trainer.met[block * ROWS:(block + 1) * ROWS]) + block * ROWS
+                if len(at):
+                    cells = [[block], [at.tobytes()], [trainer.met[at].astype(np.float64).tobytes()], [trainer.m.matrix[at].tobytes()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cells, (pa.int32(), *[pa.binary()] * 3))], names=["block", "at", "n", "means"])
 
     def add(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"block": pdf["block"][:1], "n": [pdf["n"].sum()], "sums": [sum(np.frombuffer(x, np.float64) for x in pdf["sums"]).tobytes()]})
-
-    kind = "block int, n long, sums binary"
-    parts = docs.select("text").mapInArrow(run, kind).withColumn("half", F.pmod(F.xxhash64("sums"), F.lit(16)))
+        block = int(pdf["block"].iloc[0])
+        n, sums = np.zeros(ROWS), np.zeros((ROWS, WIDTH + 1))
+        for at, w, means in zip(pdf["at"], pdf["n"], pdf["means"]):
+            at, w = np.frombuffer(at, np.int64) - block * ROWS, np.frombuffer(w, np.float64)
+            n[at] += w
+            sums[at] += w[:, None] * np.frombuffer(means, np.float32).reshape(-1, WIDTH + 1)
+        at = np.flatnonzero(n)
+        means = (sums[at] / n[at, None]).astype(np.float32)
+        return pd.DataFrame({"block": [block], "at": [(at + block * ROWS).tobytes()], "n": [n[at].tobytes()], "means": [means.tobytes()]})
+
+    kind = "block int, at binary, n binary, means binary"
+    parts = docs.select("text").mapInArrow(run, kind).withColumn("half", F.pmod(F.xxhash64("means"), F.lit(16)))
     sums = parts.groupBy("block", "half").applyInPandas(add, kind).groupBy("block").applyInPandas(add, kind)
-    rows = sorted(sums.collect(), key=lambda r: r["block"])
-    if not rows:
-        return Model.start(tables.value.share)
-    return Model(np.concatenate([np.frombuffer(r["sums"], np.float64) / r["n"] for r in rows]).astype(np.float32))
+    model = Model.start(tables.value.share)
+    for r in sums.collect():
+        model.matrix[np.frombuffer(r["at"], np.int64)] = np.frombuffer(r["means"], np.float32).reshape(-1, WIDTH + 1)
+    return model
 
 
 def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
@@ -254,21 +312,21 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     frequent = list(zip(short.column("token").to_pylist(), short.column("c").to_pylist()))
     frequent = [(t, c) for t, c in frequent if t != END]
     tables = spark.sparkContext.broadcast(Tables(frequent, ends["c"] if ends else 0, total, distinct))
-    model = spark.sparkContext.broadcast(trained(learn, tables).vector)
+    model = spark.sparkContext.broadcast(trained(learn, tables).matrix)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        t, m = tables.value, Model(model.value)
+        t, m = tables.value, Model(model.value, len(tables.value.share))
         rare_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
         for b in batches:
             texts = [[*words(x), END] for x in b.column("text").to_pylist()]
             length = np.array([len(x) for x in texts], np.int64)
             ids = np.concatenate([t.coded(x) for x in texts]) if texts else np.zeros(0, np.int64)
-            target = t.classes(ids)
-            log_p = m.log_probabilities(contexts(ids, length), target) / LOG10
+            target = t.outcomes(ids)
+            log_p = m.log_probabilities(contexts(target, length, t.words), target) / LOG10
             log_c = np.where(ids >= 0, t.log_c[np.maximum(ids, 0)], 0.0)
-            inner = target == OUTPUTS - 1
+            inner = ids < 0
             row = np.repeat(np.arange(len(texts)), length)
             add = lambda x: pa.array(np.bincount(row, x, len(texts)), pa.float64())
             rare = [Counter(w for w in x if w not in t.ids) if u else {} for x, u in zip(texts, np.bincount(row, ids < 0, len(texts)))]

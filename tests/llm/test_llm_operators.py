@@ -149,6 +149,19 @@ def test_op3_model_beats_the_base(spark):
     assert r[0] > r[1]
 
 
+def test_op3_context_tells_infrequent_words_apart(spark):
+    # 500 pairs of words in random order, all alike in frequency: far more words than 256, each second one certain
+    r = np.random.default_rng(1)
+    texts = [(i, " ".join(f"left{k} right{k}" for k in r.integers(0, 500, 300))) for i in range(500)]
+    got = lm_score.score(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).where("held_out")
+    score, base, n = got.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (score - base) / n > 0.5     # a model of the 255 first words and one class gains nothing on the others
+    tables = lm_score.Tables([(b"w%d" % i, 9) for i in range(5000)], 5, 45_005, 5001)
+    model = lm_score.Model.start(tables.share)
+    assert len(tables.share) == 5002 and len(model.outputs) == 5002 and len(model.inputs) == 5003
+    assert np.array_equal(np.unique(lm_score.contexts(np.arange(5002), np.array([5002]), tables.words)), np.arange(5001 + 2)[np.r_[0:5001, 5002]])
+
+
 def test_op5_and_op6_learn(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     q = quality_cnn.score(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
