@@ -11,8 +11,9 @@ above it are retrieved:
   passage and the block's greatest non-essential sum bound the score, and only blocks whose bound reaches the threshold
   are scored exactly.
 
-A retrieved pair is verified: the share of the word 3-grams of the item's question (all sentences but the last) and of
-its answer (the last one; of a single sentence the last third) that the passage holds must reach their limits.
+A retrieved pair is verified: the share of the word 3-grams of the item's question and of its answer that the passage holds
+must reach their limits. The answer is the last sentence, but at least the last third of the item, so that a changed or
+missing closing word does not decide alone; the question is the rest.
 Items of more than ``PASSAGE // 2`` words are indexed in parts of that length.
 
 The index is broadcast in shards of at most ``SHARD_CHARS`` characters of items, so its size is bounded for any
@@ -65,8 +66,9 @@ def parts(text: str) -> list[tuple[list[str], list[str], list[str]]]:
         starts = [*range(0, len(words) - size, size), len(words) - size]
         return [(w, w[: 2 * size // 3], w[2 * size // 3:]) for w in (words[s:s + size] for s in starts)]
     last = tokens(SENTENCE.split(text.strip())[-1])
-    if len(last) in (0, len(words)):
-        last = words[-max(1, len(words) // 3):]
+    least = max(1, len(words) // 3)
+    if not least <= len(last) < len(words):
+        last = words[-least:]
     return [(words, words[: len(words) - len(last)], last)] if words else []
 
 

@@ -120,6 +120,17 @@ def test_op2_odd_rows(spark, odd):
     assert decontaminate.matches(odd, none_of(bench)).count() == 0 and decontaminate.matches(none_of(odd), bench).count() == 0
 
 
+def test_op2_a_short_last_sentence_does_not_decide(spark):
+    item = "Which river runs through the old town below the castle and past the three stone mills before it meets the sea? Danube."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [(1, item), (2, item.replace("Danube", "Rhine")), (3, item.replace(" Danube.", "")), (4, "Danube. " * 9)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.matches(docs, bench).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {4}
+    (words, question, answer), = decontaminate.parts(item)
+    assert question + answer == words and len(answer) == len(words) // 3
+
+
 def test_op3_base_score_and_normalisation(spark, odd):
     got = lm_score.score(odd.where("doc_id is not null")).collect()
     docs = [(r.doc_id, [*lm_score.words(r.text or ""), lm_score.END]) for r in odd.where("doc_id is not null").collect()]
