@@ -39,6 +39,8 @@ RUN = 4
 CELL = WIDTH + 1
 #: Bytes of a document that go through the filters at once; the maxima of its parts are combined.
 PART = 1 << 18
+#: Blocks before a part that hold all bytes of a repetition that ends in it.
+BEFORE = -(-(max(LAGS) + RUN - 1) // BLOCK)
 
 
 class Network:
@@ -76,8 +78,11 @@ class Network:
             if b - a <= PART:
                 small.append(i)
                 continue
-            parts = [self.responses(padded(data[s:min(b, s + PART + BLOCK)]))[1].max(axis=0) for s in range(a, b, PART)]
-            out[i] = np.max(parts, axis=0)
+            blocks, step = padded(data[a:b]), max(1, PART // BLOCK)
+            out[i] = -np.inf
+            for s in range(0, len(blocks) - 1, step):
+                low = max(0, s - BEFORE)
+                out[i] = np.maximum(out[i], self.responses(blocks[low:s + step + 1])[1][s - low:].max(axis=0))
         at = 0
         while at < len(small):
             group, size = [], 0

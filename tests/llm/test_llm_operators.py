@@ -203,6 +203,18 @@ def test_op5_long_documents_pool_over_all_parts(monkeypatch):
     assert np.allclose(n.pooled(data, np.array([0, 5000])), whole, atol=0.5)
 
 
+@pytest.mark.parametrize("size", [4999, 5000, 5001])
+def test_op5_parts_equal_the_whole(monkeypatch, size):
+    n = quality_cnn.Network()
+    n.p["filt"] *= 3
+    r = np.random.default_rng(2)
+    data = np.concatenate([np.tile(r.integers(32, 127, 40), 30), r.integers(32, 127, size - 1200)]).astype(np.uint8)
+    whole = n.pooled(data, np.array([0, size]))
+    for part in (8, 64, 1000):
+        monkeypatch.setattr(quality_cnn, "PART", part)
+        assert np.allclose(n.pooled(data, np.array([0, size])), whole, atol=1e-4)
+
+
 def brute_windows(texts, w=suffix_dedup.THRESHOLD):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(t[i:i + w] for t in raw for i in range(len(t) - w + 1))
