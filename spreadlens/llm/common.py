@@ -43,6 +43,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it until no column of ``df`` has it (names are matched without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """Fold of a row: crc32 of the id written as text, modulo the number of folds (a null id counts as empty)."""
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "utf-8")) % folds

@@ -85,3 +85,37 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     and coalesce(repeat_ratio <= c, true) and coalesce(word_length <= d, true) and coalesce(word_length >= e, true) as kept
 from q left join f on q.lang is not distinct from f.lang and q.source is not distinct from f.source
 """
+
+#: Base 32 of a SHA-1: each five hexadecimal digits are four digits of base 32.
+_DIGIT = " || ".join(f"lpad(to_base(cast('0x' || substr(s, {1 + 5 * i}, 5) as bigint), 32), 4, '0')" for i in range(8))
+ORACLE["op12_warc"] = f"""
+with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as s from pages),
+m as (select t, max(page_id) as last from p group by t)
+select page_id, cast(octet_length(encode(t)) as bigint) as payload_bytes,
+  translate({_DIGIT}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest,
+  case when last is null or page_id is not distinct from last then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from last then last end as refers_to
+from p join m using (t)
+"""
+
+ORACLE["op13_fill_in_middle"] = r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+    sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h
+  from documents
+), r as (
+  select *, cast('0x' || substr(h, 1, 8) as bigint) % (len(u) + 1) as x, cast('0x' || substr(h, 9, 8) as bigint) % (len(u) + 1) as y,
+    t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or cast('0x' || substr(h, 17, 8) as bigint) % 100 >= 90 as plain,
+    cast('0x' || substr(h, 25, 8) as bigint) % 100 < 20 as spm
+  from d
+), c as (
+  select *, coalesce(array_to_string(u[1:least(x, y)], ''), '') as p, coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') as m,
+    coalesce(array_to_string(u[greatest(x, y) + 1:], ''), '') as s
+  from r
+)
+select doc_id, cast(len(u) as bigint) as n, case when plain then 'plain' when spm then 'spm' else 'psm' end as form,
+  case when not plain then cast(length(p) as bigint) end as prefix_chars, case when not plain then cast(length(m) as bigint) end as middle_chars,
+  sha256(case when plain then t when spm then '<S>' || s || '<P>' || p || '<M>' || m else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from c
+"""

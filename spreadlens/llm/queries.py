@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontaminate, lm_score, quality_cnn, quality_rules, simhash_dedup, suffix_dedup, token_count, toxicity
+from . import bpe_codec, chat_format, decontaminate, fill_in_middle, lm_score, quality_cnn, quality_rules, simhash_dedup, suffix_dedup, token_count, toxicity, warc
+from ..session import scratch_path
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -71,6 +72,24 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and digest are those of the payloads read back."""
+    folder = scratch_path(spark, "op12-archive")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.parse(warc.read(spark, folder)).select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        warc.base32(F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to",
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.restore(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select(
+        "doc_id", F.col("units").alias("n"), "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontaminate": op2_decontaminate,
@@ -82,4 +101,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_token_count": op10_token_count,
+    "op12_warc": op12_warc,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
