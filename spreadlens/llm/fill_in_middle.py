@@ -30,7 +30,7 @@ UNIT = rb"([A-Za-z]+|[\x00-\x7f]|[\xc2-\xf4][\x80-\xbf]+)"
 BREAK = b"\xff"
 PIECE = 1 << 20
 CHUNK = 1 << 22
-RESULT = "units long, form string, prefix_chars long, middle_chars long, output string"
+RESULT = "struct<units:long,form:string,prefix_chars:long,middle_chars:long,output:string>"
 
 
 def piece_cuts(data, offsets, size: int):
@@ -167,13 +167,13 @@ def fill_in_middle(docs: DataFrame, text: str = "text", key: str = "doc_id", see
     ``plain_from`` are transformed, and of 100 of these ``spm_below`` begin with the suffix."""
     small_batches(docs.sparkSession)
 
-    @F.arrow_udf(f"struct<{RESULT.replace(' ', ':').replace(',:', ',')}>")
+    @F.arrow_udf(RESULT)
     def run(texts, h1, h2, h3, h4):
         return transformed(texts, h1, h2, h3, h4, plain_from, spm_below)
 
     made = free_name(docs, "_fim")
-    names = [f.split(" ")[0] for f in RESULT.split(", ")]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    names = ["units", "form", "prefix_chars", "middle_chars", "output"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
     return docs.withColumn(made, run(whole_text(text), *draws(F.col(f"`{key}`"), seed))).select(*kept, *[F.col(f"{made}.{c}").alias(c) for c in names])
 
 

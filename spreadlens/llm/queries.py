@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontaminate, fill_in_middle, lm_score, quality_cnn, quality_rules, simhash_dedup, suffix_dedup, token_count, toxicity, warc
+from . import bpe_codec, chat_format, decontaminate, fill_in_middle, lm_score, periodic_runs, quality_cnn, quality_rules, simhash_dedup, suffix_dedup, token_count, toxicity, warc
 from ..session import scratch_path
-from .common import table
+from .common import table, whole_text, words
 from .oracle import ORACLE  # noqa: F401
 
 
@@ -72,6 +72,31 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where the contract asks for it, the words from one on repeat a stretch of the words."""
+    h = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8"))
+    rows = docs.select("doc_id", whole_text().alias("text"), h.alias("h"), F.floor(h / 10).alias("g"))
+    asked = F.col("h") % 10 == 0
+    rows = rows.withColumn("w", F.when(asked, words(F.col("text")))).withColumn("n", F.coalesce(F.size("w"), F.lit(0)))
+    rows = rows.withColumn("a", (F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    copies = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    new = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(copies, F.lit(1), F.col("n") - F.col("a")))
+    return rows.select("doc_id", F.when(asked & (F.col("n") > 0), F.array_join(new, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    # runs come by start and period, so the first of equals stays
+    best = F.reduce("runs", none, lambda x, r: F.when(x.isNull() | (r["length"] * x["period"] > x["length"] * r["period"]), r).otherwise(x))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), lines.alias("lines"), "collapsed").select(
+        "doc_id", "n_runs", "b.start", "b.length", "b.period", F.floor(1000 * F.col("b.length") / F.col("b.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and digest are those of the payloads read back."""
     folder = scratch_path(spark, "op12-archive")
@@ -101,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_token_count": op10_token_count,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_warc": op12_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
