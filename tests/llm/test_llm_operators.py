@@ -269,12 +269,28 @@ def test_op8_and_op10_equal_the_library(spark, odd):
     assert token_count.count_tokens(none_of(odd)).count() == 0 and bpe_codec.digests(none_of(odd)).count() == 0
 
 
-def test_op8_cuts_only_where_no_token_spans():
+def test_op8_cuts_only_where_no_token_spans(monkeypatch):
     c = bpe_codec.codec(bpe_codec.default_vocabulary())
-    symbols = [c.alphabet[b] for b in "日本語 テスト qzx".replace(" ", "").encode()]
-    cut = list(c.fragments(symbols))
-    assert len(cut) > 1 and [s for f in cut for s in f] == symbols
-    assert [i for f in cut for i in c.merge(f)] == c.merge(symbols)
+    word = "日本語テストqzxjkvwŋaaaa".encode() * 9
+    cut, final = c.fragments([word, b"the"])
+    assert len(cut) > 3 and b"".join(cut) == word + b"the" and sum(final) == 2
+    symbols = lambda: [c.symbol[0][b] for b in word[:-1]] + [c.symbol[1][word[-1]]]
+    assert c.encoded([word])[0] == tuple(c.merge(symbols())) == tuple(c.merge_long(symbols()))
+    monkeypatch.setattr(bpe_codec, "LONG", 10**6)
+    assert c.encoded([word])[0] == tuple(c.merge(symbols()))
+
+
+def test_op8_random_texts_equal_the_library(monkeypatch):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    r = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCÉéßΣσ' \n\t0123456789.,!?日本語🤖\u0301\u00a0\x1c") + ["<|endoftext|>", " the", "ing ", "'ll"]
+    texts = ["".join(r.choice(letters, r.integers(0, 60))) for _ in range(3000)] + ["ab" * 400, "q" * 1000, "".join(r.choice(letters[:26], 3000))]
+    c = bpe_codec.Codec(bpe_codec.default_vocabulary())
+    monkeypatch.setattr(bpe_codec, "CACHE", 5000)
+    got = [x for a in range(0, len(texts), 200) for x in c.encode_batch(texts[a:a + 200])]
+    for text, (ids, decoded, n) in zip(texts, got):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert (np.frombuffer(ids, "<u4").tolist(), n) == (want, len(want)) and decoded == t.decode(want, skip_special_tokens=False)
 
 
 def test_op9_triples_cover_all_quadruples():
