@@ -10,6 +10,8 @@ from ..session import scratch_path
 #: A word is a run of characters outside this class; the class is fixed by the query contracts.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: The same class as bytes.
+SPACES = (0x20, *range(0x09, 0x0E))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,20 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def shared(spark: SparkSession, make, *plain):
+    """A function that gives ``make(*plain)`` in a task. Only ``plain`` (numbers, strings, arrays and containers of them) is
+    broadcast, as it needs no package on the executors; the object is made once per worker and broadcast."""
+    data = spark.sparkContext.broadcast({"plain": plain})
+
+    def get():
+        held = data.value
+        if "made" not in held:
+            held["made"] = make(*held["plain"])
+        return held["made"]
+
+    return get
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or that with underscores before it until no column of ``df`` has it (names are matched without case)."""
     taken = {c.lower() for c in df.columns}
@@ -68,12 +84,12 @@ def small_batches(spark: SparkSession, rows: int = 256, mb: int = 16) -> None:
 
 
 def utf8(column):
-    """The bytes of an Arrow string column and the offsets of its rows, without copying; nulls are empty."""
+    """The bytes of an Arrow string or binary column and the offsets of its rows, without copying; nulls are empty."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    c = pc.fill_null(column, "").cast(pa.large_binary())
+    c = pc.fill_null(column.cast(pa.large_binary()), b"")
     if isinstance(c, pa.ChunkedArray):
         c = c.combine_chunks()
     _, offsets, data = c.buffers()
@@ -82,6 +98,24 @@ def utf8(column):
     return raw[at[0]:at[-1]], at - at[0]
 
 
+def byte_words(data, offsets):
+    """The words of the rows of a buffer as one binary array, and the number of the words of each row."""
+    import numpy as np
+    import pyarrow as pa
+
+    space = np.zeros(256, bool)
+    space[list(SPACES)] = True
+    inside = ~space[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    first[edges] = inside[edges]
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.searchsorted(starts, offsets))
+    places = np.r_[np.cumsum(inside)[starts] - 1, np.count_nonzero(inside)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data[inside])]), counts
+
+
 def most_frequent(counts: DataFrame, n: str, at_most: int) -> DataFrame:
     """The rows of the greatest counts, at most ``at_most``: those above a limit that a histogram of the counts (64
     steps for each doubling, so a few thousand rows at any size) gives. No task sorts them all."""

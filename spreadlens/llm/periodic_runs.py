@@ -28,35 +28,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, utf8, whole_text
+from .common import byte_words, free_name, small_batches, utf8, whole_text
 
 MIN_WORDS = 6
 EXPONENT = 4
-#: Bytes of white space, fixed by the contract's class of words.
-SPACES = (0x20, *range(0x09, 0x0E))
 #: Words compared at once by an extension, doubled as it goes on.
 REACH = 64
 RESULT = "struct<words:long,runs:array<struct<start:long,length:long,period:long>>,collapsed:string>"
 
 
-def words(data, offsets):
-    """The words of the rows of a buffer as one binary array, and the number of the words of each row."""
-    import numpy as np
-    import pyarrow as pa
-
-    space = np.zeros(256, bool)
-    space[list(SPACES)] = True
-    inside = ~space[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < len(data)]
-    first[edges] = inside[edges]
-    starts = np.flatnonzero(first)
-    counts = np.diff(np.searchsorted(starts, offsets))
-    places = np.r_[np.cumsum(inside)[starts] - 1, np.count_nonzero(inside)].astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data[inside])]), counts
-
-
 def ranges(longest: int, min_words: int, exponent: int) -> Iterator[tuple[int, int, int]]:
     """(low, high, k): ranges of periods, and the least overlap of the copies of runs of such periods."""
     low = 1
@@ -184,7 +164,7 @@ def analysed(text, min_words: int, exponent: int):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    word, counts = words(*utf8(text))
+    word, counts = byte_words(*utf8(text))
     codes = word.dictionary_encode().indices.to_numpy() if len(word) else np.zeros(0, np.int32)
     found = np.array(find_runs(codes, counts, min_words, exponent), np.int64).reshape(-1, 3)
     first = np.r_[0, np.cumsum(counts)]
