@@ -1,12 +1,9 @@
-"""Exact cosine top-k (and threshold) joins between a query set and a base set, as blocked matrix products.
+"""Exact cosine top-k and threshold joins between a query set and a base set.
 
-Both sides are split into hash blocks; every (query block, base block) cell is brought together by one cogroup on
-the block pair (each query row is replicated once per base block and vice versa, the layout of a distributed
-block-matrix product). A cell computes its similarity sub-matrix in numpy — frequent terms as a dense BLAS product,
-rare terms as a sparse scatter-add — and emits only its top-k per query row (or only pairs above the threshold).
-A final row_number over at most k x (base blocks) rows per query picks the global top-k. No operator emits all
-pairs, every cell is bounded by the block sizes, and frequent terms cannot skew a shuffle because nothing is keyed
-by term.
+Sparse vectors (postings) are searched in a sharded index whose shards are visited by bound, see ``routed``. Dense
+vectors have no terms to bound them by and are multiplied in blocks: both sides are split into hash blocks, a cogroup
+brings every (query block, base block) cell together, and a cell emits only its top-k per query row. A final row_number
+over at most k x (base blocks) rows per query picks the global top-k.
 
 Ranking = (similarity rounded to 9 decimals, descending; base id ascending). Every base row is a candidate, so a
 query without any shared term still gets k rows with similarity 0, the lowest ids first, as the reference does.
@@ -21,14 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROUND = 9
-HOT_FACTOR = 400         # a term goes to the dense product when its pair count * HOT_FACTOR >= cell size
-MAX_DENSE_TERMS = 4096   # bound on the dense block's width (memory: rows x MAX_DENSE_TERMS doubles per side)
-MAX_PAIRS_PER_CHUNK = 4_000_000
-
-
-def _cell_schema(qtype: str, btype: str) -> str:
-    return f"qid {qtype}, bid {btype}, sim double, skey double"
+from . import routed
+from .products import ROUND
 
 
 def _block_counts(spark, n_q: int, n_b: int, q_block_rows: int, b_block_rows: int, min_cells: int | None):
@@ -79,80 +70,6 @@ def _ids(col: pd.Series) -> np.ndarray:
     return np.asarray(col.astype(object).tolist(), dtype=object)
 
 
-def _sparse_sim(qrow, qc, wq, brow, bc, wb, nq, nb, nt):
-    """Similarity matrix from postings (row index, term code, weight) of both sides."""
-    s = np.zeros((nq, nb))
-    if len(qc) == 0 or len(bc) == 0:
-        return s
-    cq = np.bincount(qc, minlength=nt)
-    cb = np.bincount(bc, minlength=nt)
-    pairs = cq.astype(np.float64) * cb
-    hot = pairs * HOT_FACTOR >= float(nq) * nb
-    if hot.sum() > MAX_DENSE_TERMS:
-        keep = np.argsort(-pairs, kind="stable")[:MAX_DENSE_TERMS]
-        hot = np.zeros(nt, dtype=bool)
-        hot[keep] = True
-    if hot.any():
-        hot_ids = np.flatnonzero(hot)
-        hpos = np.full(nt, -1)
-        hpos[hot_ids] = np.arange(len(hot_ids))
-        qm = hpos[qc] >= 0
-        bm = hpos[bc] >= 0
-        qh = np.zeros((nq, len(hot_ids)))
-        qh[qrow[qm], hpos[qc[qm]]] = wq[qm]
-        bh = np.zeros((nb, len(hot_ids)))
-        bh[brow[bm], hpos[bc[bm]]] = wb[bm]
-        s += qh @ bh.T
-    qs = (~hot[qc]) & (cb[qc] > 0)
-    bs = (~hot[bc]) & (cq[bc] > 0)
-    if qs.any() and bs.any():
-        qrow_r, qc_r, wq_r = qrow[qs], qc[qs], wq[qs]
-        order = np.argsort(bc[bs], kind="stable")
-        brow_r, bc_r, wb_r = brow[bs][order], bc[bs][order], wb[bs][order]
-        start = np.zeros(nt + 1, dtype=np.int64)
-        np.cumsum(np.bincount(bc_r, minlength=nt), out=start[1:])
-        reps = cb[qc_r]
-        flat = s.ravel()
-        lo = 0
-        csum = np.cumsum(reps)
-        while lo < len(qc_r):
-            base = csum[lo - 1] if lo else 0
-            hi = int(np.searchsorted(csum, base + MAX_PAIRS_PER_CHUNK, side="right"))
-            hi = max(hi, lo + 1)
-            r = reps[lo:hi]
-            total = int(r.sum())
-            if total:
-                iq = np.repeat(np.arange(lo, hi), r)
-                offs = np.arange(total) - np.repeat(np.cumsum(r) - r, r)
-                ib = start[qc_r[iq]] + offs
-                flat += np.bincount(qrow_r[iq] * nb + brow_r[ib], weights=wq_r[iq] * wb_r[ib], minlength=nq * nb)
-            lo = hi
-    return s
-
-
-def _sparse_cell(k, min_sim, exclude_same_label, exclude_self=False):
-    def cell(qp: pd.DataFrame, bp: pd.DataFrame) -> pd.DataFrame:
-        qd = qp[qp["term"].isna()]
-        bd = bp[bp["term"].isna()].sort_values("id")
-        if qd.empty or bd.empty:
-            return _empty()
-        qids = _ids(qd["id"])
-        bids = _ids(bd["id"])
-        qpost = qp[qp["term"].notna()]
-        bpost = bp[bp["term"].notna()]
-        codes, uniq = pd.factorize(pd.concat([qpost["term"], bpost["term"]], ignore_index=True))
-        qc, bc = codes[: len(qpost)], codes[len(qpost):]
-        qrow = pd.Index(qids).get_indexer(qpost["id"])
-        brow = pd.Index(bids).get_indexer(bpost["id"])
-        qk, bk = qrow >= 0, brow >= 0          # postings of ids missing from the doc list are ignored
-        s = _sparse_sim(qrow[qk], qc[qk], qpost["weight"].to_numpy(float)[qk],
-                        brow[bk], bc[bk], bpost["weight"].to_numpy(float)[bk], len(qids), len(bids), len(uniq))
-        return _select(s, qids, bids, qd["label"].to_numpy(object), bd["label"].to_numpy(object),
-                       k, min_sim, exclude_same_label, exclude_self)
-
-    return cell
-
-
 def _dense_cell(k, min_sim, exclude_same_label, exclude_self=False):
     def unit(vecs):
         m = np.stack([np.asarray(v, dtype=np.float64) for v in vecs]) if len(vecs) else np.zeros((0, 0))
@@ -176,67 +93,52 @@ def _id_type(df: DataFrame, id_col: str) -> str:
     return "string" if df.schema[id_col].dataType.simpleString() == "string" else "long"
 
 
-def _side(docs: DataFrame, vecs: DataFrame | None, id_col: str, label_col: str | None):
-    t = _id_type(docs, id_col)
-    d = docs.select(
-        F.col(id_col).cast(t).alias("id"),
-        (F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")).alias("label"),
-    )
-    if vecs is None:
-        return d
-    d = d.select("id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("weight"), "label")
-    v = vecs.select(F.col("doc_id").cast(t).alias("id"), "term", "weight",
-                    F.lit(None).cast("string").alias("label"))
-    return d.unionByName(v)
+def _dense_cells(query_docs, base_docs, *, k=None, min_sim=None, id_col="doc_id", label_col=None, exclude_same_label=False,
+                 exclude_self=False, vec_col=None, q_block_rows=1024, b_block_rows=1024, min_cells=None):
+    spark = query_docs.sparkSession
+    both = query_docs.select(F.lit(0).alias("side")).unionByName(base_docs.select(F.lit(1).alias("side")))
+    got = dict(both.groupBy("side").count().collect())          # both side sizes in one job
+    bq, bb = _block_counts(spark, got.get(0, 0), got.get(1, 0), q_block_rows, b_block_rows, min_cells)
 
+    def side(docs):
+        return docs.select(F.col(id_col).cast(_id_type(docs, id_col)).alias("id"), F.col(vec_col).alias("vec"),
+                           (F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")).alias("label"))
 
-def _run(query_docs, query_vecs, base_docs, base_vecs, *, k=None, min_sim=None, id_col="doc_id", label_col=None,
-         exclude_same_label=False, exclude_self=False, vec_col=None, q_block_rows=1024, b_block_rows=1024,
-         min_cells=None, sizes=None):
-    spark = query_docs.sparkSession
-    if sizes is None:
-        both = query_docs.select(F.lit(0).alias("side")).unionByName(base_docs.select(F.lit(1).alias("side")))
-        got = dict(both.groupBy("side").count().collect())          # both side sizes in one job
-        sizes = (got.get(0, 0), got.get(1, 0))
-    n_q, n_b = sizes
-    bq, bb = _block_counts(spark, n_q, n_b, q_block_rows, b_block_rows, min_cells)
-    if vec_col:
-        q = query_docs.select(F.col(id_col).cast(_id_type(query_docs, id_col)).alias("id"), F.col(vec_col).alias("vec"),
-                              (F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")).alias("label"))
-        b = base_docs.select(F.col(id_col).cast(_id_type(base_docs, id_col)).alias("id"), F.col(vec_col).alias("vec"),
-                             (F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")).alias("label"))
-        cell = _dense_cell(k, min_sim, exclude_same_label, exclude_self)
-    else:
-        q = _side(query_docs, query_vecs, id_col, label_col)
-        b = _side(base_docs, base_vecs, id_col, label_col)
-        cell = _sparse_cell(k, min_sim, exclude_same_label, exclude_self)
-    q = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int")).withColumn(
+    q = side(query_docs).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int")).withColumn(
         "bb", F.explode(F.sequence(F.lit(0), F.lit(bb - 1))))
-    b = b.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(bb)).cast("int")).withColumn(
+    b = side(base_docs).withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(bb)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-    schema = _cell_schema(_id_type(query_docs, id_col), _id_type(base_docs, id_col))
+    schema = f"qid {_id_type(query_docs, id_col)}, bid {_id_type(base_docs, id_col)}, sim double, skey double"
+    cell = _dense_cell(k, min_sim, exclude_same_label, exclude_self)
     return q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(cell, schema)
 
 
 def exact_topk(query_docs: DataFrame, base_docs: DataFrame, k: int, *, query_vecs: DataFrame | None = None,
                base_vecs: DataFrame | None = None, id_col: str = "doc_id", label_col: str | None = None,
                exclude_same_label: bool = False, exclude_self: bool = False, vec_col: str | None = None,
-               **blocks) -> DataFrame:
+               index: routed.Index | None = None, shard_rows: int | None = None, **blocks) -> DataFrame:
     """(qid, bid, sim, skey, rank) — the k best base rows of every query row (rank 1 = most similar).
 
-    Sparse input: ``*_docs`` (id[, label]) + ``*_vecs`` (doc_id, term, weight) L2-normalised. Dense input:
-    ``vec_col`` names an array column of ``*_docs`` (normalised here). ``exclude_same_label`` keeps only base rows
-    whose label differs from the query row's (the contrastive partner search); ``exclude_self`` drops the pair of
-    a row with itself (a set against itself)."""
-    cells = _run(query_docs, query_vecs, base_docs, base_vecs, k=k, id_col=id_col, label_col=label_col,
-                 exclude_same_label=exclude_same_label, exclude_self=exclude_self, vec_col=vec_col, **blocks)
+    Sparse input: ``*_docs`` (id[, label]) + ``*_vecs`` (doc_id, term, weight) L2-normalised, and optionally the base's
+    ``index``. Dense input: ``vec_col`` names an array column of ``*_docs`` (normalised here). ``exclude_same_label``
+    keeps only base rows whose label differs from the query row's (the contrastive partner search); ``exclude_self``
+    drops the pair of a row with itself (a set against itself)."""
+    if vec_col is None:
+        index = index or routed.build(base_docs, base_vecs, id_col, label_col, shard_rows)
+        return routed.topk(query_docs, query_vecs, index, k, id_col, label_col, exclude_same_label, exclude_self)
+    cells = _dense_cells(query_docs, base_docs, k=k, id_col=id_col, label_col=label_col, exclude_same_label=exclude_same_label,
+                         exclude_self=exclude_self, vec_col=vec_col, **blocks)
     w = Window.partitionBy("qid").orderBy(F.col("skey").desc(), F.col("bid").asc())
     return cells.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def similarity_join(query_docs: DataFrame, base_docs: DataFrame, min_sim: float, *, query_vecs=None,
                     base_vecs=None, id_col: str = "doc_id", label_col: str | None = None,
-                    exclude_same_label: bool = False, vec_col: str | None = None, **blocks) -> DataFrame:
-    """(qid, bid, sim, skey) for every pair whose rounded cosine similarity is >= ``min_sim``."""
-    return _run(query_docs, query_vecs, base_docs, base_vecs, min_sim=min_sim, id_col=id_col, label_col=label_col,
-                exclude_same_label=exclude_same_label, vec_col=vec_col, **blocks)
+                    exclude_same_label: bool = False, vec_col: str | None = None, index: routed.Index | None = None,
+                    shard_rows: int | None = None, **blocks) -> DataFrame:
+    """(qid, bid, sim, skey) for every pair whose rounded cosine similarity is >= ``min_sim`` (positive for sparse input)."""
+    if vec_col is None:
+        index = index or routed.build(base_docs, base_vecs, id_col, label_col, shard_rows)
+        return routed.similar(query_docs, query_vecs, index, min_sim, id_col, label_col, exclude_same_label)
+    return _dense_cells(query_docs, base_docs, min_sim=min_sim, id_col=id_col, label_col=label_col,
+                        exclude_same_label=exclude_same_label, vec_col=vec_col, **blocks)

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import knn, tfidf
+from . import knn, routed, tfidf
 
 
 @dataclass
@@ -20,44 +20,41 @@ class Retrieval:
     test: DataFrame         # (doc_id, text, label, ...)
     train_vecs: DataFrame   # (doc_id, term, weight)
     test_vecs: DataFrame
-    n_train: int | None = None
-    n_test: int | None = None
+    shards: routed.Index | None = None
+
+    def index(self) -> routed.Index:
+        """The train side cut into shards, made once for all searches."""
+        if self.shards is None:
+            self.shards = routed.build(self.train, self.train_vecs, label_col="label")
+        return self.shards
 
 
 def build(corpus: DataFrame, split_col: str = "split") -> Retrieval:
-    """Fit on the train split and vectorise both splits. The vector tables are the index: they are read by the
-    top-k join and twice by the partner search, so they are persisted (memory, spilling to disk). Split sizes come
-    from one pruned scan (ids only) and feed the fit and the block sizing; the train split is tokenised once for
-    both the fit and its vectors."""
-    sizes = dict(corpus.groupBy(split_col).count().collect())
+    """Fit on the train split and vectorise both splits. The vector tables are read by the sharded index and by every
+    search, so they are persisted (memory, spilling to disk). The train split is tokenised once for both the fit and its
+    vectors, and its size comes from one pruned scan (ids only)."""
     train = corpus.filter(F.col(split_col) == "train")
     test = corpus.filter(F.col(split_col) == "test")
     keep = StorageLevel.MEMORY_AND_DISK
     train_counts = tfidf.term_counts(train).persist(keep)
-    model = tfidf.fit(train, counts=train_counts, n_docs=sizes.get("train", 0))
+    model = tfidf.fit(train, counts=train_counts, n_docs=train.count())
     return Retrieval(model, train, test, tfidf.transform(model, train, counts=train_counts).persist(keep),
-                     tfidf.transform(model, test).persist(keep), sizes.get("train", 0), sizes.get("test", 0))
-
-
-def _sizes(n_q, n_b):
-    return (n_q, n_b) if n_q is not None and n_b is not None else None
+                     tfidf.transform(model, test).persist(keep))
 
 
-def topk_similar(r: Retrieval, k: int, **blocks) -> DataFrame:
+def topk_similar(r: Retrieval, k: int) -> DataFrame:
     """(test_id, train_id, rank, similarity) — the k most similar train rows of every test row."""
-    top = knn.exact_topk(r.test, r.train, k, query_vecs=r.test_vecs, base_vecs=r.train_vecs,
-                         sizes=_sizes(r.n_test, r.n_train), **blocks)
+    top = knn.exact_topk(r.test, r.train, k, query_vecs=r.test_vecs, index=r.index())
     return top.select(F.col("qid").alias("test_id"), F.col("bid").alias("train_id"), "rank",
                       F.col("sim").alias("similarity"))
 
 
-def nearest_opposite(r: Retrieval, **blocks) -> DataFrame:
+def nearest_opposite(r: Retrieval) -> DataFrame:
     """(train_id, partner_id, similarity) — for every train row the most similar train row with another label.
 
     Depends on the train side only, so it is computed once and joined to any selection (the reference recomputes
     it for every test row and selected row). Rows of a single-label train set have no partner."""
-    top = knn.exact_topk(r.train, r.train, 1, query_vecs=r.train_vecs, base_vecs=r.train_vecs,
-                         label_col="label", exclude_same_label=True, sizes=_sizes(r.n_train, r.n_train), **blocks)
+    top = knn.exact_topk(r.train, r.train, 1, query_vecs=r.train_vecs, index=r.index(), label_col="label", exclude_same_label=True)
     return top.select(F.col("qid").alias("train_id"), F.col("bid").alias("partner_id"), F.col("sim").alias("similarity"))
 
 

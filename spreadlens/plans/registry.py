@@ -144,7 +144,7 @@ def q_tfidf_vectors(spark, sf_dir):
 def q_cosine_pairs(spark, sf_dir):
     from ..operators import knn
     r = _retrieval(spark, sf_dir)
-    pairs = knn.similarity_join(r.test, r.train, SIMILARITY_JOIN_MIN, query_vecs=r.test_vecs, base_vecs=r.train_vecs)
+    pairs = knn.similarity_join(r.test, r.train, SIMILARITY_JOIN_MIN, query_vecs=r.test_vecs, index=r.index())
     return pairs.select(F.col("qid").alias("test_id"), F.col("bid").alias("train_id"), r6("sim").alias("similarity"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, knn, retrieval
+from ..operators import evaluation, knn, retrieval, routed
 from ..operators.retrieval import Retrieval
 from . import prompts, scoring
 
@@ -68,23 +68,23 @@ def _feature_cols(prefix: str) -> list[Column]:
                                                  "median_retweet_time")]
 
 
-def balanced_requests(features: DataFrame, k: int = 3, model_size: str = "70b", **blocks) -> tuple[DataFrame, DataFrame]:
+def balanced_requests(features: DataFrame, k: int = 3, model_size: str = "70b") -> tuple[DataFrame, DataFrame]:
     """Graph-aware balanced strategy on propagation feature rows (doc_id, text, label, split, metrics...).
 
     Returns (requests, truth)."""
     r = retrieval.build(features)
-    partners = retrieval.nearest_opposite(r, **blocks)
+    partners = retrieval.nearest_opposite(r)
     test = features.filter(F.col("split") == "test")
-    req = balanced_requests_for(r.train, test, r.train_vecs, r.test_vecs, partners, k, model_size, **blocks)
+    req = balanced_requests_for(r.train, test, r.index(), r.test_vecs, partners, k, model_size)
     return req, test.select("doc_id", "label")
 
 
-def balanced_requests_for(train: DataFrame, test: DataFrame, train_vecs: DataFrame, test_vecs: DataFrame,
-                          partners: DataFrame, k: int = 3, model_size: str = "70b", **blocks) -> DataFrame:
-    """Requests of test rows against a fitted train index (train rows, their vectors, the partner table).
+def balanced_requests_for(train: DataFrame, test: DataFrame, index: routed.Index, test_vecs: DataFrame,
+                          partners: DataFrame, k: int = 3, model_size: str = "70b") -> DataFrame:
+    """Requests of test rows against a fitted train index (train rows, their sharded vectors, the partner table).
 
     Used by the batch run and, per micro-batch, by the incremental (streaming) run."""
-    top = knn.exact_topk(test, train, k, query_vecs=test_vecs, base_vecs=train_vecs, **blocks).select(
+    top = knn.exact_topk(test, train, k, query_vecs=test_vecs, index=index).select(
         F.col("qid").alias("test_id"), F.col("bid").alias("train_id"), "rank", F.col("sim").alias("similarity"))
     sel = retrieval.balanced(top, partners, k)
     ex_side = train.select(

@@ -64,42 +64,6 @@ def test_equal_texts_lower_id_first(spark):
     assert [t.train_id for t in top] == [3, 7]
 
 
-@pytest.mark.parametrize("blocks", [dict(q_block_rows=1024, b_block_rows=1024), dict(q_block_rows=7, b_block_rows=5),
-                                    dict(q_block_rows=1, b_block_rows=64, min_cells=1)])
-def test_blocked_topk_equals_brute_force(spark, blocks):
-    rng = np.random.default_rng(7)
-    vocab = [f"w{i}" for i in range(40)]
-    n_q, n_b, k = 23, 57, 4
-    mats = {}
-    rows = []
-    for side, n, off in (("q", n_q, 0), ("b", n_b, 1000)):
-        m = np.zeros((n, len(vocab)))
-        for i in range(n):
-            terms = rng.choice(len(vocab), size=rng.integers(0, 6), replace=False)
-            m[i, terms] = rng.random(len(terms))
-        norm = np.linalg.norm(m, axis=1)
-        norm[norm == 0] = 1
-        m = m / norm[:, None]
-        mats[side] = m
-        rows.append([(off + i, vocab[j], float(m[i, j])) for i in range(n) for j in np.flatnonzero(m[i])])
-    qd = spark.createDataFrame([(i,) for i in range(n_q)], "doc_id long")
-    bd = spark.createDataFrame([(1000 + i,) for i in range(n_b)], "doc_id long")
-    qv = spark.createDataFrame(rows[0], "doc_id long, term string, weight double")
-    bv = spark.createDataFrame(rows[1], "doc_id long, term string, weight double")
-    got = knn.exact_topk(qd, bd, k, query_vecs=qv, base_vecs=bv, **blocks).collect()
-    s = mats["q"] @ mats["b"].T
-    expect = {}
-    for i in range(n_q):
-        order = sorted(range(n_b), key=lambda j: (-round(s[i, j], 9), j))[:k]
-        expect[i] = [1000 + j for j in order]
-    res = {}
-    for r in sorted(got, key=lambda r: (r.qid, r.rank)):
-        res.setdefault(r.qid, []).append(r.bid)
-        assert r.sim == pytest.approx(s[r.qid, r.bid - 1000], abs=1e-12)
-        assert -1e-12 <= r.sim <= 1 + 1e-12
-    assert res == expect
-
-
 def test_dense_topk_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     q = rng.normal(size=(9, 5))
