@@ -25,7 +25,7 @@ class Retrieval:
     def index(self) -> routed.Index:
         """The train side cut into shards, made once for all searches."""
         if self.shards is None:
-            self.shards = routed.build(self.train, self.train_vecs, label_col="label")
+            self.shards = routed.build(self.train, self.train_vecs, label_col="label", n_docs=self.model.n_docs)
         return self.shards
 
 

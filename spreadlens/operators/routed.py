@@ -77,16 +77,17 @@ def sides(docs: DataFrame, vecs: DataFrame, id_col: str, label_col: str | None)
     return d.where("id is not null"), v
 
 
-def build(docs: DataFrame, vecs: DataFrame, id_col: str = "doc_id", label_col: str | None = None, shard_rows: int | None = None) -> Index:
-    """Index of a base. A shard holds the rows of one label whose heaviest term is the same, cut by a hash where these are
+def build(docs: DataFrame, vecs: DataFrame, id_col: str = "doc_id", label_col: str | None = None, shard_rows: int | None = None,
+          n_docs: int | None = None) -> Index:
+    """Index of a base (of ``n_docs`` rows, counted unless given). A shard holds the rows of one label whose heaviest term is the same, cut by a hash where these are
     many; terms that head few rows share shards by a hash of the term."""
     d, v = sides(docs, vecs, id_col, label_col)
     heads = v.groupBy("id").agg(F.max_by("term", F.struct("weight", "term")).alias("head"))
-    headed = _staged(d.join(heads, "id"), "shard-heads")
+    headed = d.join(heads, "id")
     sizes = headed.groupBy("label", "head").agg(F.count("*").alias("n"))
     if shard_rows is None:
         cores = docs.sparkSession.sparkContext.defaultParallelism
-        shard_rows = min(SHARD_ROWS, max(LEAST_ROWS, math.ceil(headed.count() / cores)))
+        shard_rows = min(SHARD_ROWS, max(LEAST_ROWS, math.ceil((d.count() if n_docs is None else n_docs) / cores)))
     many = F.col("n") * 2 > shard_rows
     spare = sizes.where(~many).groupBy("label").agg(F.sum("n").alias("rest"))
     plan = sizes.join(spare, "label", "left").select(
@@ -95,7 +96,7 @@ def build(docs: DataFrame, vecs: DataFrame, id_col: str = "doc_id", label_col: s
     shard = F.concat_ws("/", "label", F.when(F.col("own"), F.col("head")).otherwise(F.lit("")), number.cast("string"))
     placed = headed.join(plan, ["label", "head"]).select("id", "label", shard.alias("shard"))
     postings = _staged(v.join(placed, "id").select("shard", "label", "id", "term", "weight"), "shard-postings")
-    maxima = _staged(postings.groupBy("shard", "label", "term").agg(F.max("weight").alias("most")), "shard-maxima")
+    maxima = postings.groupBy("shard", "label", "term").agg(F.max("weight").alias("most"))
     return Index(postings, maxima, d)
 
 
@@ -158,13 +159,13 @@ def topk(query_docs: DataFrame, query_vecs: DataFrame, index: Index, k: int, id_
     found = near.unionByName(_visit(more, q_vecs, index, ids, **how))
     w = Window.partitionBy("qid").orderBy(F.col("skey").desc(), F.col("bid").asc())
     found = _staged(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "shard-found")
-    return found.unionByName(_filled(q_docs, found, index, k, exclude_same_label, exclude_self))
-
-
-def _filled(q_docs: DataFrame, found: DataFrame, index: Index, k: int, other_label: bool, exclude_self: bool) -> DataFrame:
-    """Rows of similarity 0 that bring queries of fewer than k found rows up to k, the least ids first."""
     have = found.groupBy("qid").agg(F.count("*").alias("n"))
     short = q_docs.join(have, q_docs["id"] == have["qid"], "left").select(q_docs["id"].alias("qid"), "label", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    return found if short.isEmpty() else found.unionByName(_filled(short, found, index, k, exclude_same_label, exclude_self))
+
+
+def _filled(short: DataFrame, found: DataFrame, index: Index, k: int, other_label: bool, exclude_self: bool) -> DataFrame:
+    """Rows of similarity 0 that bring queries of fewer than k found rows, (qid, label, n), up to k, the least ids first."""
     least = sorted(index.least(2 * k + 1))
     if not least:
         return found.limit(0)
