@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,14 +42,80 @@ def test_degree_per_vertex_matches_closed_form(spark):
         assert r.m == pytest.approx(r.avg_degree_centrality, abs=1e-12)
 
 
-def test_iterative_path_equals_grouped_path(spark):
-    e = graph.undirected_edges(_edges(spark))
-    grouped = {(r.propagation_id, r.vertex): r for r in eigen.eigenvector_centrality(e).collect()}
-    iterative = {(r.propagation_id, r.vertex): r for r in eigen.eigenvector_centrality(e, max_edges_in_group=0).collect()}
-    assert grouped.keys() == iterative.keys()
-    for k, g in grouped.items():
-        assert iterative[k].iterations == g.iterations
-        assert iterative[k].eigenvector_centrality == pytest.approx(g.eigenvector_centrality, abs=1e-12)
+def _random_edges(spark, graphs=25, seed=0):
+    """Graphs of very different shape and size, self-loops, hubs and chains, with vertex names shared between graphs."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for g in range(graphs):
+        n = int(r.integers(1, 40))
+        rows += [(f"g{g}", f"v{a}", f"v{b}") for a, b in r.integers(0, n, (int(r.integers(1, 60)), 2))]
+    rows += [("hub", "h", f"v{i}") for i in range(300)] + [("chain", f"v{i:03d}", f"v{i + 1:03d}") for i in range(60)]
+    return graph.undirected_edges(spark.createDataFrame(rows, "propagation_id string, source string, target string"))
+
+
+def _plain_iteration(edges, max_iter=1000, tol=1e-6):
+    """The library's definition, one graph, dictionaries and lists only."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    x = {v: 1 / len(near) for v in near}
+    for step in range(1, max_iter + 1):
+        y = {v: x[v] + sum(x[u] for u in near[v]) for v in near}
+        norm = math.sqrt(sum(z * z for z in y.values())) or 1.0
+        y = {v: z / norm for v, z in y.items()}
+        if sum(abs(y[v] - x[v]) for v in near) < len(near) * tol:
+            return y, step
+        x = y
+    return None, max_iter
+
+
+def _solved(df):
+    return {(r.propagation_id, r.vertex): (r.eigenvector_centrality, r.iterations, r.converged) for r in df.collect()}
+
+
+def test_both_paths_give_the_same_bits(spark, monkeypatch):
+    # few steps: some graphs are done early, some do not converge in time
+    e = graph.undirected_edges(_edges(spark)).union(_random_edges(spark, 6)).persist()
+    want = _solved(eigen.eigenvector_centrality(e, max_iter=6, path="batched"))
+    assert {x[2] for x in want.values()} == {True, False}
+    assert want == _solved(eigen.eigenvector_centrality(e.repartition(7), max_iter=6, path="iterative"))
+    monkeypatch.setattr(eigen, "BATCH_EDGES", 9)
+    assert want == _solved(eigen.eigenvector_centrality(e.repartition(5), max_iter=6, path="batched"))
+    monkeypatch.setattr(eigen, "BROADCAST_GRAPHS", 0)
+    assert want == _solved(eigen.eigenvector_centrality(e, max_iter=6, max_edges_in_group=40))
+    with pytest.raises(ValueError):
+        eigen.eigenvector_centrality(e, path="other")
+    e.unpersist()
+
+
+@pytest.mark.parametrize("path", ["batched", "iterative"])
+def test_a_graph_at_the_step_limit(spark, path):
+    e = _random_edges(spark, 0).where("propagation_id = 'chain' and a < 'v003'").persist()
+    tol = 0.005
+    (_, steps, ok) = next(iter(_solved(eigen.eigenvector_centrality(e, tol=tol, path="batched")).values()))
+    assert ok and 2 < steps < 12
+    at = _solved(eigen.eigenvector_centrality(e, max_iter=steps, tol=tol, path=path))
+    before = _solved(eigen.eigenvector_centrality(e, max_iter=steps - 1, tol=tol, path=path))
+    assert all(x[1:] == (steps, True) and x[0] > 0 for x in at.values())
+    assert all(x == (None, steps - 1, False) for x in before.values())
+    assert at == _solved(eigen.eigenvector_centrality(e, max_iter=steps, tol=tol, path="batched"))
+    e.unpersist()
+
+
+def test_batched_path_equals_a_plain_iteration(spark):
+    e = _random_edges(spark)
+    got, edges = _solved(eigen.eigenvector_centrality(e)), {}
+    for r in e.collect():
+        edges.setdefault(r.propagation_id, []).append((r.a, r.b))
+    assert len(got) == sum(len({v for x in es for v in x}) for es in edges.values())
+    for g, es in edges.items():
+        x, steps = _plain_iteration(es)
+        for v in {v for x in es for v in x}:
+            value, n, ok = got[g, v]
+            assert (n, ok) == (steps, x is not None)
+            assert value is None if x is None else value == pytest.approx(x[v], abs=1e-12)
+    assert eigen.eigenvector_centrality(e.limit(0)).count() == 0
 
 
 def test_non_convergence_gives_null(spark):
