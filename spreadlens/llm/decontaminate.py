@@ -19,8 +19,9 @@ Items of more than ``PASSAGE // 2`` words are indexed in parts of that length.
 The index is broadcast in shards of at most ``SHARD_CHARS`` characters of items, so its size is bounded for any
 benchmark; collection statistics are those of the whole benchmark.
 
-Nulls: a null text has no words and no match; a null item has none either. Ties: all items at the threshold count.
-Repeated items or rows give matches of their own. Empty tables give no matches. Extra columns are kept by ``clean``.
+Nulls: a null text has no words and no match; a null item has none either; items of a null id match and come last. Ties:
+all items at the threshold count. Items equal in id and text are one item, others that share an id match by themselves;
+repeated rows match each. Empty tables give no matches. Extra columns are kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text
+from .common import free_name, shared, small_batches, whole_text
 
 WORDS = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -77,8 +78,9 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], n: int, mean: float, df: dict[str, int], threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.items = []       # (item_id, impacts by word, question grams, answer grams)
-        for item_id, text in items:
+        self.items = []       # ((number, item_id), impacts by word, question grams, answer grams)
+        for item in enumerate(items):
+            item_id, text = (item[0], item[1][0]), item[1][1]
             for words, question, answer in parts(text):
                 tf = Counter(words)
                 impact = {
@@ -119,7 +121,7 @@ class Index:
                 essential[q].add(w)
                 if q:
                     essential[q - 1].add(w)
-        found: dict[int, dict] = {}
+        found: dict[tuple, dict] = {}
         for q, hit in essential.items():
             bound: dict[int, float] = defaultdict(float)
             for w in hit:
@@ -129,9 +131,9 @@ class Index:
             if live:
                 passage = words[q * step:q * step + PASSAGE]
                 self._score(passage, q * step, live, found)
-        return sorted(found.values(), key=lambda m: m["item_id"])
+        return [m for _, m in sorted(found.items(), key=lambda x: (x[0][1] is None, x[0][1] or 0, x[0][0]))]
 
-    def _score(self, passage: list[str], at: int, blocks: list[int], found: dict[int, dict]) -> None:
+    def _score(self, passage: list[str], at: int, blocks: list[int], found: dict[tuple, dict]) -> None:
         have, triples = set(passage), None
         for b in blocks:
             for item_id, impact, question, answer in self.items[b * BLOCK:(b + 1) * BLOCK]:
@@ -143,7 +145,7 @@ class Index:
                 share = lambda gs: sum(g in triples[len(g)] for g in gs) / len(gs) if gs else 1.0
                 q, a = share(question), share(answer)
                 if q >= QUESTION and a >= ANSWER and (item_id not in found or score > found[item_id]["score"]):
-                    found[item_id] = {"item_id": item_id, "at": at, "score": score, "question": q, "answer": a}
+                    found[item_id] = {"item_id": item_id[1], "at": at, "score": score, "question": q, "answer": a}
 
 
 def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Index]:
@@ -156,7 +158,7 @@ def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Inde
     def length(texts):
         return texts.map(lambda t: len(tokens(t)))
 
-    items = benchmark.select(F.col("item_id").cast("long"), whole_text().alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long"), whole_text().alias("text")).distinct()
     n, mean, chars = items.agg(F.count("*"), F.avg(length("text")), F.sum(F.length("text"))).first()
     if not n:
         return
@@ -169,24 +171,30 @@ def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Inde
         yield Index(got, n, max(1.0, mean or 1.0), terms, threshold)
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``matches``: the verified test items of each text."""
+def restored(values: dict) -> Index:
+    i = Index.__new__(Index)
+    vars(i).update(values)
+    return i
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, name: str = "matches") -> DataFrame:
+    """``docs`` with the verified test items of each text, in a column ``name`` (one of that name is replaced)."""
     spark = docs.sparkSession
     small_batches(spark)
     out, names = docs, []
     for k, index in enumerate(indexes(benchmark, threshold)):
-        shared = spark.sparkContext.broadcast(index)
+        held = shared(spark, restored, vars(index))
 
         @F.pandas_udf(f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>")
-        def run(texts, shared=shared):
+        def run(texts, held=held):
             import pandas as pd
 
-            return pd.Series([shared.value.matches(t) for t in texts], dtype=object)
+            return pd.Series([held().matches(t) for t in texts], dtype=object)
 
-        names.append(f"_m{k}")
+        names.append(free_name(out, f"_m{k}"))
         out = out.withColumn(names[-1], run(whole_text()))
     empty = F.array().cast(f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>")
-    return out.withColumn("matches", F.concat(empty, *names)).drop(*names)
+    return out.withColumn(name, F.concat(empty, *names)).drop(*names)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -197,4 +205,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no test item."""
-    return with_matches(docs, benchmark, threshold).where(F.size("matches") == 0).select(*docs.columns)
+    name = free_name(docs, "_matches")
+    return with_matches(docs, benchmark, threshold, name).where(F.size(name) == 0).drop(name)

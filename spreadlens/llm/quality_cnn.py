@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, small_batches, utf8, whole_text
+from .common import fold, labelled_sample, shared, small_batches, utf8, whole_text
 
 BLOCK = 8
 WIDTH = 8
@@ -185,17 +185,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_ch
     return Network().fit([t.encode() for t in texts], y, share)
 
 
+def restored(parameters: dict, share: float, shift: float, trained: bool) -> Network:
+    n = Network()
+    n.p, n.share, n.shift, n.trained = parameters, share, shift, trained
+    return n
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = ACCEPT) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    network = spark.sparkContext.broadcast(train(docs, labels))
+    n = train(docs, labels)
+    network = shared(spark, restored, n.p, n.share, n.shift, n.trained)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            scores = network.value.scores(*utf8(b.column("text")))
+            scores = network().scores(*utf8(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -24,7 +24,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, small_batches, stage, whole_text
+from .common import free_name, free_shuffles, small_batches, stage, whole_text
 from .components import components
 
 SHINGLE = 4
@@ -65,7 +65,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(doc_id, digest, fp) of every row; the digest is that of the text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -73,9 +73,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
         for b in batches:
             fps = [fingerprint(t.encode(), shingle) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(fps, pa.int64())], names=["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.sha2(whole_text(), 256).alias("digest"), whole_text().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest string, fp long")
 
 
 def byte_at(fp: Column, i: int) -> Column:
@@ -148,21 +149,32 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return twos.union(few).union(hot).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row."""
+def groups(docs: DataFrame, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The marked rows (doc_id, digest, fp), and of every fingerprint its component and the component's first row:
+    (fp, root, first), first being the least (doc_id, digest) of the rows with an id."""
     free_shuffles(docs.sparkSession)
     marked = stage(fingerprints(docs, shingle), "op9-fingerprints")
-    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "op9-nodes")
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))
+    nodes = stage(marked.groupBy("fp").agg(F.min(row).alias("first")), "op9-nodes")
     roots = components(links(nodes, max_bits), "a", "b")
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    return marked, placed.drop("first").join(placed.groupBy("root").agg(F.min("first").alias("first")), "root")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row."""
+    marked, found = groups(docs, shingle, max_bits)
+    named = found.select("fp", F.col("first.doc_id").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` without those that repeat another: of each group the row with the least doc_id stays.
-    Rows with a null doc_id can't be matched with their group and stay."""
-    groups = near_duplicates(docs, shingle, max_bits)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` without those that repeat another: of each group the row with the least doc_id stays, of
+    equal ids that with the least text digest, and of rows equal in both one. A group always keeps a row. Rows with a
+    null doc_id can't be matched with their group and stay."""
+    _, found = groups(docs, shingle, max_bits)
+    digest = free_name(docs, "_digest")
+    first = found.groupBy("root").agg(F.first("first").alias("f")).select(F.col("f.doc_id").alias("_first"), F.col("f.digest").alias("_text"))
+    rows = docs.withColumn(digest, F.sha2(whole_text(), 256))
+    kept = rows.join(first, (rows["doc_id"] == first["_first"]) & (rows[digest] == first["_text"]), "left_semi").dropDuplicates(["doc_id", digest])
+    return kept.drop(digest).union(docs.where(F.col("doc_id").isNull()))

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, release, small_batches, stage, utf8, whole_text
+from .common import free_name, free_shuffles, release, small_batches, stage, utf8, whole_text
 
 THRESHOLD = 200
 DIGIT = 64
@@ -275,8 +275,8 @@ def windows(spans: DataFrame, threshold: int) -> DataFrame:
     return spans.mapInArrow(run, "_k long, start int, d1 long, d2 long, weight int, open boolean")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), whole_text()))
+def keyed(docs: DataFrame, name: str = "_k") -> DataFrame:
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), whole_text()))
 
 
 def repeated_ranges(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -363,7 +363,8 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with the repeated windows cut from ``text`` (a character that loses a byte goes whole)."""
-    ranges = repeated_ranges(docs, threshold)
+    key, found = free_name(docs, "_k"), free_name(docs, "_ranges")
+    ranges = repeated_ranges(docs.select("doc_id", "text"), threshold).select(F.col("_k").alias(key), F.col("ranges").alias(found))
 
     @F.pandas_udf("string")
     def shorten(texts, found):
@@ -371,7 +372,7 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
         return pd.Series([t if r is None or not len(r) else cut(t.encode(), merged(r)).decode("utf-8", "ignore") for t, r in zip(texts, found)])
 
-    joined = keyed(docs).join(ranges, "_k", "left")
-    new = F.when(F.col("ranges").isNull(), F.col("text")).otherwise(shorten(whole_text(), F.col("ranges")))
-    cols = [F.col(c) if c != "text" else new.alias("text") for c in docs.columns]
+    joined = keyed(docs, key).join(ranges, key, "left")
+    new = F.when(F.col(found).isNull(), F.col("text")).otherwise(shorten(whole_text(), F.col(found)))
+    cols = [F.col(f"`{c}`") if c != "text" else new.alias("text") for c in docs.columns]
     return joined.select(*cols)

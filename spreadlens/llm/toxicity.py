@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, small_batches, whole_text
+from .common import fold, free_name, labelled_sample, shared, small_batches, whole_text
 
 WORDS = re.compile(r"[^\W_]+")
 DISCOUNT = 6.0
@@ -163,15 +163,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_ch
     return Scorer(*labelled_sample(docs, labels, "toxic", lambda c: fold(c, 4) != 2, per_class, max_chars))
 
 
+def restored(share: float, models: dict | None, fit) -> Scorer:
+    """A scorer from plain values."""
+    s = Scorer([], np.zeros(0, np.int64), share)
+    if models is not None:
+        s.models, s.fit = Models.__new__(Models), fit
+        vars(s.models).update(models)
+    return s
+
+
 def score_column(scorer: Scorer, spark):
     small_batches(spark)
-    model = spark.sparkContext.broadcast(scorer)
+    model = shared(spark, restored, scorer.share, scorer.models and vars(scorer.models), scorer.models and scorer.fit)
 
     @F.pandas_udf("double")
     def run(texts):
         import pandas as pd
 
-        return pd.Series(model.value.scores(texts.tolist()))
+        return pd.Series(model().scores(texts.tolist()))
 
     return run(whole_text())
 
@@ -184,4 +193,5 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = REJECT) -> Data
 
 def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float = REJECT) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
-    return docs.withColumn("_toxic", score_column(scorer, docs.sparkSession)).where(F.col("_toxic") < threshold).drop("_toxic")
+    made = free_name(docs, "_toxic")
+    return docs.withColumn(made, score_column(scorer, docs.sparkSession)).where(F.col(made) < threshold).drop(made)
