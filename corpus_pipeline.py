@@ -38,7 +38,8 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digest of what they decode to."""
     coded = bpe_codec.encode(docs)
-    return coded.select(*[F.col(c) for c in docs.columns if c != "text"], "text", "n_tokens", "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    own = {"text", "n_tokens", "ids", "decoded", "decoded_sha256"}
+    return coded.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own], "text", "n_tokens", "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
