@@ -46,6 +46,13 @@ def grid(df: DataFrame, temperatures: list[float], model_sizes: list[str], repli
     )
 
 
+def cells(spark, strategy: str, shots: list[int], temperatures: list[float] = (0.0,), model_sizes: list[str] = ("8b",)) -> DataFrame:
+    """The run keys (RUN_COLS) of a grid, before any request is built; types and values as the requests have them."""
+    ks = F.array(*[F.lit(int(k)) for k in shots])
+    one = spark.range(1).select(F.lit(strategy).alias("strategy"), F.explode(ks).alias("num_shots"))
+    return grid(one, list(temperatures), list(model_sizes)).select(*RUN_COLS)
+
+
 def topk_requests(r: Retrieval, top: DataFrame, shots: list[int], temperatures: list[float] = (0.0,),
                   model_sizes: list[str] = ("8b",), template=prompts.TEXT_ONLY) -> DataFrame:
     """Text-only strategy: one request per (test doc, num_shots, temperature, model)."""
