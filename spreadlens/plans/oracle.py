@@ -488,3 +488,7 @@ SELECT propagation_id, label, round(avg_degree_centrality, 6) AS avg_degree_cent
        round(eigenvector_centrality, 6) AS eigenvector_centrality,
        round(median_retweet_time, 6) AS median_retweet_time, graph_status
 FROM features""")
+
+ORACLE["q_run_sweep"] = "SELECT * FROM (" + ORACLE["q_metrics_by_num_shots"] + ") AS sweep WHERE num_shots IN (2, 3)"
+ORACLE["q_offline_evaluation"] = ORACLE["q_metrics_lenient"]
+ORACLE["q_feature_cache"] = ORACLE["q_record_features"]

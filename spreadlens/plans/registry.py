@@ -464,7 +464,10 @@ def q_retweet_delays(spark, sf_dir):
 
 @register
 def q_record_features(spark, sf_dir):
-    f = features.record_features(_records(spark, sf_dir))
+    return _feature_select(features.record_features(_records(spark, sf_dir)))
+
+
+def _feature_select(f):
     return f.select(
         "propagation_id", "text", "label",
         r6("avg_degree_centrality").alias("avg_degree_centrality"),
@@ -479,7 +482,7 @@ def _exported_predictions(spark, sf_dir):
     from . import scoring
     path = scratch_path(spark, "predictions-json")
     scoring.export_json_map(_preds(spark, sf_dir), path, "doc_id")
-    return scoring.import_json_map(spark, path, "item_id")
+    return scoring.import_json_map(spark, path, "item_id", lines=True)
 
 
 @register
@@ -522,6 +525,57 @@ def q_pending(spark, sf_dir):
     return todo.select("doc_id", "num_shots")
 
 
+def _split_folders(spark, sf_dir):
+    """The labelled records as a train and a test folder of JSON lines."""
+    from ..session import scratch_path
+    from ..sources import propagation_json
+    ev = fixtures.graph_events(spark, sf_dir, labelled=True)
+    number = ev.filter("pos = 0").select("propagation_id", (F.col("graph_idx") % 5 == 0).alias("test"))
+    rec = fixtures.propagation_records(spark, sf_dir, ev, "chain").join(number, "propagation_id")
+    out = {}
+    for name, mine in (("train", ~F.col("test")), ("test", F.col("test"))):
+        out[name] = scratch_path(spark, name)
+        propagation_json.write_lines(rec.where(mine).drop("test"), out[name])
+    return out["train"], out["test"]
+
+
+@register
+def q_run_sweep(spark, sf_dir):
+    """A whole run over record folders, from the scan to the metrics file, which is read back."""
+    from ..session import scratch_path
+    from . import pipeline, scoring
+    train, test = _split_folders(spark, sf_dir)
+    out = scratch_path(spark, "metrics")
+    m = pipeline.run_shots_sweep(spark, train, test, scratch_path(spark, "run-store"), scoring.vote_stub, shots=(2, BALANCED_K),
+                                 layout="lines", metrics_out=out)
+    return _metric_select(spark.read.schema(m.schema).json(out), ["num_shots"])
+
+
+@register
+def q_offline_evaluation(spark, sf_dir):
+    """Result files against the true labels of a record folder, by common keys and with lenient labels."""
+    from ..session import scratch_path
+    from . import pipeline, scoring
+    test, out = _records_path(spark, sf_dir, test_only=True), scratch_path(spark, "results")
+    name = F.concat(F.lit("prop_"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".json"))
+    scoring.export_json_map(_preds(spark, sf_dir).withColumn("propagation_id", name), out, "propagation_id")
+    return _metric_select(pipeline.offline_evaluation(spark, test, out, layout="lines"), [])
+
+
+@register
+def q_feature_cache(spark, sf_dir):
+    """Feature rows that a second run loads from the cache instead of building them."""
+    from ..sources import feature_cache, propagation_json
+    path = _records_path(spark, sf_dir)
+    key = {"records": path, "files": feature_cache.inventory(spark, path)}
+    feature_cache.load_or_build(spark, key, lambda: features.record_features(propagation_json.read(spark, path, "lines")))
+
+    def again():
+        raise AssertionError("the cache was not used")
+
+    return _feature_select(feature_cache.load_or_build(spark, key, again))
+
+
 @register
 def q_incremental_score(spark, sf_dir):
     from ..session import scratch_path

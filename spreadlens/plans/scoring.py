@@ -14,6 +14,7 @@ temperature and model sweeps use ``LeaningStubClient``, whose answers depend on
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -146,11 +147,12 @@ def append_store(scored: DataFrame, store_path: str) -> None:
     scored.write.mode("append").partitionBy(*parts).parquet(store_path)
 
 
-def import_json_map(spark: SparkSession, path: str, key: str = "propagation_id") -> DataFrame:
+def import_json_map(spark: SparkSession, path: str, key: str = "propagation_id", lines: bool = False) -> DataFrame:
     """(key, prediction) of result files: one JSON object {key: answer}, on one line or several, or any number of such
-    objects after one another, as ``export_json_map`` writes them. A missing file is empty, a broken one raises."""
+    objects after one another. With ``lines`` every line is an object, as ``export_json_map`` writes them: files of any
+    size are then split over the cluster; otherwise a file is one row. A missing file is empty, a broken one raises."""
     try:
-        raw = spark.read.text(path, wholetext=True)
+        raw = spark.read.text(path, wholetext=not lines)
     except AnalysisException as e:
         if e.getCondition() not in ABSENT:
             raise
@@ -160,10 +162,34 @@ def import_json_map(spark: SparkSession, path: str, key: str = "propagation_id")
     return objects.select(F.explode(F.from_json("o", "map<string,string>", {"mode": "FAILFAST"})).alias(key, "prediction"))
 
 
-def export_json_map(preds: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Write {key: prediction} JSON objects, one per line and hash bucket of keys, so no task or row has to hold all
-    predictions. The number of buckets is the caller's; ``import_json_map`` reads any number of them back whole."""
-    b = preds.select(F.col(key).cast("string").alias("k"), "prediction").groupBy(
-        F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("_b")).agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "prediction")))).alias("value"))
-    b.select("value").write.mode("overwrite").text(path)
+#: Characters of an exported object at most, but for a single longer answer.
+OBJECT_CHARS = 1 << 20
+
+
+def export_json_map(preds: DataFrame, path: str, key: str, object_chars: int = OBJECT_CHARS) -> None:
+    """Write {key: prediction} JSON objects of at most ``object_chars`` characters, one per line. Each task packs its own
+    rows as they come, so nothing is shuffled and no row or task holds more than one object, at any number of rows. A key
+    that a task meets again begins the next object, so no row is lost. A null key is left out, a null answer is null."""
+    rows = preds.select(F.col(key).cast("string").alias("k"), F.col("prediction").cast("string").alias("p")).where("k is not null")
+
+    def pack(batches):
+        import pyarrow as pa
+
+        def batch(lines):
+            return pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+        held, size = {}, 0
+        for b in batches:
+            lines = []
+            for k, p in zip(b.column("k").to_pylist(), b.column("p").to_pylist()):
+                n = len(k) + len(p or "") + 8
+                if held and (size + n > object_chars or k in held):
+                    lines.append(json.dumps(held))
+                    held, size = {}, 0
+                held[k] = p
+                size += n
+            yield batch(lines)
+        if held:
+            yield batch([json.dumps(held)])
+
+    rows.mapInArrow(pack, "value string").write.mode("overwrite").text(path)

@@ -78,7 +78,7 @@ def test_json_result_file_roundtrip(spark, tmp_path):
     assert scoring.import_json_map(spark, str(tmp_path / "missing.json")).count() == 0
     preds = spark.createDataFrame([(i, "fake" if i % 2 else "real") for i in range(50)], "doc_id long, prediction string")
     out = str(tmp_path / "lines")
-    scoring.export_json_map(preds, out, "doc_id", buckets=4)
+    scoring.export_json_map(preds, out, "doc_id")
     back = {r.propagation_id: r.prediction for r in scoring.import_json_map(spark, out).collect()}
     assert back == {str(i): ("fake" if i % 2 else "real") for i in range(50)}
 
@@ -86,9 +86,15 @@ def test_json_result_file_roundtrip(spark, tmp_path):
 def test_json_export_of_many_objects_comes_back_whole(spark, tmp_path):
     preds = spark.createDataFrame([(i, "fake") for i in range(100)], "doc_id long, prediction string")
     out = str(tmp_path / "grown")
-    scoring.export_json_map(preds, out, "doc_id", buckets=10)
-    assert 1 < spark.read.text(out).count() <= 10                # several objects, never one for all
-    assert scoring.import_json_map(spark, out).count() == 100
+    scoring.export_json_map(preds, out, "doc_id", object_chars=100)
+    lines = spark.read.text(out).collect()
+    assert len(lines) > 5 and all(len(r.value) <= 120 for r in lines)      # several objects of bounded size
+    for by_line in (False, True):
+        assert scoring.import_json_map(spark, out, lines=by_line).count() == 100
+    odd = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z"), ("b", None), ("c", "q" * 500), ("d", 'line\nbreak "')], "k string, prediction string")
+    scoring.export_json_map(odd.coalesce(1), out, "k", object_chars=100)
+    got = sorted((r.k, r.prediction or "") for r in scoring.import_json_map(spark, out, "k", lines=True).collect())
+    assert got == [("a", "x"), ("a", "y"), ("b", ""), ("c", "q" * 500), ("d", 'line\nbreak "')]
 
 
 def test_broken_result_file_raises(spark, tmp_path):
