@@ -15,7 +15,8 @@ drop out, the others go on with their next digit. Digits are hashes of byte runs
 * Last digit, for groups that split (context differs around a shared passage): one run of each distinct span goes
   on with its bytes, which give the 128-bit digit of each of its windows. Equal windows have equal first digits, so a
   group is resolved where it stands; groups of more than ``MAX_GROUP`` distinct spans are spread over the cluster
-  by the last digit instead. A span that occurs twice has only repeated windows.
+  by the last digit instead. A span that occurs twice has only repeated windows; its runs are found by a join on the
+  span, where spans of more than ``HOT_SHARE`` of all runs (by that share fewer than 1,024) meet them without a shuffle.
 
 Nulls: a null text is empty. Rows are told apart by doc_id and text; a repeated row repeats all windows. Texts below the
 threshold have no window. An empty table gives no rows; extra columns are kept by ``without_repeats`` and else ignored.
@@ -38,6 +39,8 @@ PIECE = 1 << 16
 #: Span texts compared at once, and the group size beyond which windows are spread over the cluster one by one.
 GATHER = 4096
 MAX_GROUP = 4096
+#: Spans that hold more than this share of all runs are joined by broadcast: there are fewer than its inverse of them.
+HOT_SHARE = 1 / 1024
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 MIX = 0xBF58476D1CE4E5B9
@@ -279,6 +282,17 @@ def keyed(docs: DataFrame, name: str = "_k") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), whole_text()))
 
 
+def runs_of_spans(split: DataFrame, spans: DataFrame) -> DataFrame:
+    """The runs of ``split`` whose span occurs more than once. No task gets more than ``HOT_SHARE`` of all runs for one span:
+    the spans beyond it are few by that very share and are broadcast, the others are joined by a shuffle."""
+    key = ["gram", "span"]
+    limit = (spans.agg(F.sum("runs")).first()[0] or 0) * HOT_SHARE
+    many = spans.where("n > 1")
+    hot = F.broadcast(many.where(F.col("runs") > limit).select(*key))
+    cold = many.where(F.col("runs") <= limit).select(*key)
+    return split.join(hot, key, "left_semi").union(split.join(hot, key, "left_anti").join(cold, key, "left_semi"))
+
+
 def repeated_ranges(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(_k, ranges): for each row key the byte ranges (start, end) that repeated windows cover."""
     if threshold <= DIGIT:
@@ -296,7 +310,7 @@ def repeated_ranges(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     release(grams)
     split = again.where("not alike")
     spans = split.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("_k", "start", "count")).alias("r"))
-    spans = stage(spans.select("gram", "span", F.least("n", F.lit(2)).cast("int").alias("n"), "r.*"), "op7-spans")
+    spans = stage(spans.select("gram", "span", F.least("n", F.lit(2)).cast("int").alias("n"), F.col("n").alias("runs"), "r.*"), "op7-spans")
     ask = spans.groupBy("_k").agg(F.collect_list(F.struct("gram", "start", "count", "n")).alias("ask"))
     cuts = stage(span_texts(texts.join(ask, "_k"), threshold), "op7-cuts")
     large = cuts.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > MAX_GROUP).select("gram")
@@ -306,7 +320,7 @@ def repeated_ranges(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     win = stage(windows(cuts.join(large, "gram", "left_semi"), threshold), "op7-windows")
     digits = win.groupBy("d1", "d2").agg(F.sum("weight").alias("w")).where("w > 1").select("d1", "d2")
     spread = win.where("open").join(digits, ["d1", "d2"], "left_semi").select("_k", "start", F.lit(1).alias("count"))
-    twice = split.join(spans.where("n > 1").select("gram", "span"), ["gram", "span"], "left_semi").select("_k", "start", "count")
+    twice = runs_of_spans(split, spans).select("_k", "start", "count")
     alike = again.where("alike").select("_k", "start", "count")
     covered = alike.union(twice).union(single).union(spread)
     end = (F.col("start") + F.col("count") - 1 + threshold).alias("end")

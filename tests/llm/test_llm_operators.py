@@ -256,6 +256,18 @@ def test_op7_equals_brute_force(spark, odd, monkeypatch, limits):
     assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got) == want
 
 
+@pytest.mark.parametrize("share", [1 / 1024, 0.3, 1.0])
+def test_op7_runs_of_repeated_spans_whatever_counts_as_hot(spark, monkeypatch, share):
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", share)
+    rows = [(1, 7, i) for i in range(40)] + [(1, 8, 40), (2, 7, 41), (2, 9, 42), (2, 9, 43), (2, 9, 44)]
+    split = spark.createDataFrame(rows, "gram long, span long, _k long").repartition(3)
+    spans = split.groupBy("gram", "span").count().select("gram", "span", (F.col("count") > 1).cast("int").alias("n"), F.col("count").alias("runs"))
+    spans = spans.withColumn("n", F.col("n") + 1)
+    got = [r["_k"] for r in suffix_dedup.runs_of_spans(split, spans).collect()]
+    assert sorted(got) == [*range(40), 42, 43, 44]
+    assert suffix_dedup.runs_of_spans(split.limit(0), spans.limit(0)).count() == 0
+
+
 def test_op7_cuts_texts_longer_than_a_piece(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
     text = " ".join(f"n{i}" for i in range(2000))
