@@ -453,6 +453,11 @@ SELECT p.propagation_id, p.label, CAST(e.n AS BIGINT) AS n_nodes, CAST(coalesce(
 FROM props p JOIN (SELECT propagation_id, count(*) AS n FROM pe GROUP BY propagation_id) e USING (propagation_id)
 LEFT JOIN (SELECT propagation_id, count(*) AS m FROM raw_edges GROUP BY propagation_id) r USING (propagation_id)""")
 
+ORACLE["q_record_folder_scan"] = with_graph("""
+SELECT p.propagation_id, p.label, p.text, CAST(e.n AS BIGINT) AS n_nodes, CAST(coalesce(r.m, 0) AS BIGINT) AS n_edges
+FROM props p JOIN (SELECT propagation_id, count(*) AS n FROM pe GROUP BY propagation_id) e USING (propagation_id)
+LEFT JOIN (SELECT propagation_id, count(*) AS m FROM raw_edges GROUP BY propagation_id) r USING (propagation_id)""")
+
 ORACLE["q_corpus_scan"] = with_graph("SELECT propagation_id, text, label FROM props")
 ORACLE["q_true_labels"] = with_graph("SELECT propagation_id, label FROM props")
 ORACLE["q_root_text"] = with_graph("SELECT propagation_id, text FROM props")

@@ -437,6 +437,19 @@ def q_propagation_scan(spark, sf_dir):
                       F.size("edges").cast("long").alias("n_edges"))
 
 
+@register
+def q_record_folder_scan(spark, sf_dir):
+    """One file a record: every record is written as the file its key names and read back from the folder."""
+    from ..session import scratch_path
+    from ..sources import propagation_json, record_folder
+    path = scratch_path(spark, "record-folder")
+    rec = fixtures.propagation_records(spark, sf_dir, fixtures.graph_events(spark, sf_dir, labelled=True), "chain")
+    record_folder.write(rec, path)
+    back = propagation_json.read(spark, path, layout="folder")
+    return back.select("propagation_id", "label", F.col("nodes")[0]["tweet_text"].alias("text"),
+                       F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"))
+
+
 @register
 def q_corpus_scan(spark, sf_dir):
     from ..sources import propagation_json
