@@ -115,3 +115,61 @@ def test_bounds_keep_queries_out_of_shards(spark):
     assert all(s[i, j] <= bound[i, shard_of[j]] + 1e-9 for i in range(200) for j in shard_of if s[i, j] > 0)
     shards = len(set(shard_of.values()))
     assert len(bound) < 0.75 * len(shard_of) * shards
+
+
+def test_rows_are_copied_for_blocks_not_for_shared_terms(spark):
+    rng = np.random.default_rng(3)
+    m = np.abs(rng.random((300, 8))) + 0.1       # every row shares every term with every other
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    d, v = tables(spark, m, ["real"] * 200 + ["fake"] * 100)
+    index = routed.build(d, v, label_col="label", shard_rows=10)
+    assert index.rows.count() == 300             # a row travels packed, however many terms it has
+    q_docs, _ = routed.sides(d, v, "doc_id", "label")
+    groups, cells = routed._cells(index, q_docs, False)
+    copies = 300 * max(cells) + 300 * len(cells)
+    assert copies <= 3 * 300 * np.sqrt(2 * spark.sparkContext.defaultParallelism) + 600
+    assert found(knn.exact_topk(d, d, 2, query_vecs=v, index=index)) == brute(m, m, 2, lambda i, j: True)
+
+
+def test_labels_with_blocks_of_their_own_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(routed, "OWN_ROWS", 20)
+    monkeypatch.setattr(routed, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(routed, "CHUNK", 11)
+    rng = np.random.default_rng(6)
+    m = matrix(rng, 90, 30)
+    labels = [["real", "real", "fake", None, "x"][i % 5] for i in range(90)]
+    d, v = tables(spark, m, labels)
+    top = knn.exact_topk(d, d, 3, query_vecs=v, base_vecs=v, label_col="label", exclude_same_label=True, shard_rows=3)
+    assert found(top) == brute(m, m, 3, lambda i, j: labels[i] != labels[j])
+
+
+def test_terms_of_one_code_get_another_salt(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    m = matrix(rng, 40, 20)
+    d, v = tables(spark, m, ["a"] * 40)
+    monkeypatch.setattr(routed, "_code", lambda salt: F.xxhash64("term", F.lit(salt)) if salt else F.xxhash64(F.length("term")))
+    index = routed.build(d, v, shard_rows=5)
+    assert index.salt == 1
+    # a query's term that the base lacks, of a code that the base has
+    monkeypatch.setattr(routed, "_code", lambda salt: F.xxhash64(F.when(F.col("term") == "strange", "w1").otherwise(F.col("term")), F.lit(salt)))
+    q, qv = spark.createDataFrame([(1, "a")], "doc_id long, label string"), spark.createDataFrame([(1, "strange", 1.0)], "doc_id long, term string, weight double")
+    assert [(r.bid, r.sim) for r in knn.exact_topk(q, d, 2, query_vecs=qv, index=index).orderBy("rank").collect()] == [(0, 0.0), (1, 0.0)]
+
+
+def test_dense_blocks_of_any_size_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(knn, "TILE", 5)
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(60, 4)).round(1)        # negative similarities too
+    m[7] = m[3]
+    m[9] = 0                                     # similarity 0 to all
+    d = spark.createDataFrame([(i, m[i].tolist(), "ab"[i % 2]) for i in range(60)], "id long, v array<double>, label string")
+    n = np.linalg.norm(m, axis=1)
+    u = m / np.where(n == 0, 1, n)[:, None]
+    for how, ok in (({"exclude_self": True}, lambda i, j: i != j), ({"label_col": "label", "exclude_same_label": True}, lambda i, j: i % 2 != j % 2)):
+        top = knn.exact_topk(d, d, 40, id_col="id", vec_col="v", q_block_rows=7, b_block_rows=13, **how)
+        assert found(top) == brute(u, u, 40, ok)
+
+
+def test_a_dense_cell_holds_its_base_block_only(spark):
+    # queries stream past the block: the grid has no more query blocks than the cores ask for
+    assert knn._block_counts(spark, 10_000_000, 1000, 16384, 4)[0] <= 4
