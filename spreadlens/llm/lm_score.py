@@ -193,8 +193,8 @@ class Model:
         top = self.group_of[kind]
         c = np.empty((len(seq), WIDTH + 1), np.float32)
         for a in range(CONTEXT, len(seq), BATCH):
-            c[a:a + BATCH] = self.contexts(self.inputs[seq[a - CONTEXT:a + BATCH]])
-        c = c[order]
+            c[a:a + BATCH] = self.contexts(self.inputs.take(seq[a - CONTEXT:a + BATCH], axis=0))
+        c = c.take(order, axis=0)
         log_p = log_softmax(c, self.groups, top)
         for bounds, rows, node, child in ((self.bounds[0], self.classes, top, kind), (self.bounds[1], self.outputs, kind, own)):
             cuts = np.flatnonzero(np.diff(node, prepend=-1, append=-1))
@@ -248,10 +248,11 @@ class Trainer:
         order = np.argsort(rows, kind="stable")
         r = rows[order]
         cuts = np.flatnonzero(np.diff(r, prepend=-1))
-        v, at = np.add.reduceat(grads[order], cuts, axis=0), r[cuts] + self.m.first[part]
+        v, at = np.add.reduceat(grads.take(order, axis=0), cuts, axis=0), r[cuts] + self.m.first[part]
         s = self.sums[at] + np.einsum("ij,ij->i", v, v) / np.float32(WIDTH)
         self.sums[at] = s
-        self.m.matrix[at] -= v * (np.float32(RATE) / np.sqrt(s))[:, None]
+        v *= (np.float32(RATE) / np.sqrt(s))[:, None]
+        self.m.matrix[at] = np.subtract(self.m.matrix.take(at, axis=0), v, out=v)
         self.met[at] += 1
 
     def inside(self, level: int, rows, node, child, c, dc):
@@ -261,19 +262,19 @@ class Trainer:
         deep = np.flatnonzero(sizes[node] > 1)
         if not len(deep):
             return np.zeros(0, np.int64), np.zeros((0, WIDTH + 1), np.float32)
-        node, child, cc = node[deep], child[deep], c[deep]
+        node, child, cc = node[deep], child[deep], c.take(deep, axis=0)
         cuts = np.flatnonzero(np.diff(node, prepend=-1))
         met, n = node[cuts], np.diff(np.append(cuts, len(node)))
         log_noise = np.log(noise / sizes[node]).astype(np.float32)
         drawn = (np.arange(noise) + self.random.random((len(cuts), noise))) / noise
         ids = first[met][:, None] + (drawn * sizes[met][:, None]).astype(np.int64)
-        own, others = rows[child], rows[ids]
+        own, others = rows.take(child, axis=0), rows.take(ids, axis=0)
         g = -sigmoid(log_noise - np.einsum("ij,ij->i", cc, own))[:, None]
         if level:
-            others = others[np.repeat(np.arange(len(cuts)), n)]
+            others = others.take(np.repeat(np.arange(len(cuts)), n), axis=0)
             h = sigmoid(np.einsum("jrd,jd->jr", others, cc) - log_noise[:, None])
             back = np.einsum("jr,jrd->jd", h, others)
-            away = np.add.reduceat(h[:, :, None] * cc[:, None, :], cuts, axis=0)
+            away = np.add.reduceat((h[:, :, None] * cc[:, None, :]).reshape(len(cc), -1), cuts, axis=0)
         else:       # few nodes of many tokens each
             h, back, away = np.empty((len(cc), noise), np.float32), np.empty_like(cc), np.empty_like(others)
             for i, (a, b) in enumerate(zip(cuts.tolist(), (cuts + n).tolist())):
@@ -292,10 +293,10 @@ class Trainer:
         target = seq[at + CONTEXT]
         kind = m.class_of[target]
         top = m.group_of[kind]
-        x = m.inputs[seq]
-        c = m.contexts(x)[at]
+        x = m.inputs.take(seq, axis=0)
+        c = m.contexts(x).take(at, axis=0)
         noise = np.minimum(np.searchsorted(self.draw, self.random.random(NOISE[0])), len(self.draw) - 1)
-        own, others = m.groups[top], m.groups[noise]
+        own, others = m.groups.take(top, axis=0), m.groups.take(noise, axis=0)
         g = -sigmoid(self.log_noise[top] - np.einsum("ij,ij->i", c, own))[:, None]
         h = sigmoid(c @ others.T - self.log_noise[noise])
         dc = g * own + h @ others
