@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import release, scratch_path  # noqa: F401 (release is for the operators)
 
 #: A word is a run of characters outside this class; the class is fixed by the query contracts.
 GAP = r"[\x20\x09-\x0D]+"
@@ -26,14 +26,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a staged table once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of a finished execution at once instead of at the driver's next garbage
     collection; operators that run several jobs then need the disk of their largest job only."""

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spreadlens.operators import gather, retrieval, tfidf
+from spreadlens.operators import gather, retrieval, routed, tfidf
 from spreadlens.plans import sweeps
 
 
@@ -52,3 +52,29 @@ def test_fitted_model_keeps_no_cache(spark):
     model = tfidf.fit(docs)
     assert not model.idf.storageLevel.useDisk and "InMemoryRelation" not in model.idf._jdf.queryExecution().optimizedPlan().toString()
     assert {r["term"]: r["df"] for r in model.idf.collect()} == {"one": 1, "two": 2, "three": 1}
+
+
+def test_blocks_and_rows_not_picked_are_gone_before_prompts(spark, monkeypatch, tmp_path):
+    """Of what a search stored only its result is left when requests are dealt, and of the base only the rows that were picked."""
+    monkeypatch.setattr(routed, "scratch_path", lambda _, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    corpus = spark.range(90).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 30, "near words").otherwise("far off").alias("text"),
+                                    F.lit("real").alias("label"), F.when((F.col("id") < 30) & (F.col("id") % 5 == 0), "test").otherwise("train").alias("split"))
+    r = retrieval.build(corpus)
+    first = sorted(map(tuple, (top := retrieval.topk_similar(r, 2)).collect()))
+    assert list(tmp_path.glob("shard-blocks-*"))
+    r.release()
+    assert not list(tmp_path.glob("shard-blocks-*"))
+    req = sweeps.topk_requests(r, top, [2])
+    picked = [spark.read.parquet(str(p)) for p in tmp_path.glob("picked-rows-*")]
+    assert [sorted(x.row_id for x in p.collect()) for p in picked] == [[1, 2]]       # the least ids of equal rows
+    assert req.count() == 6
+    assert sorted(map(tuple, retrieval.topk_similar(r, 2).collect())) == first        # made again for a later search
+
+
+def test_balanced_requests_leave_no_blocks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(routed, "scratch_path", lambda _, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    rows = [(i, f"w{i % 4} same", ["fake", "real"][i % 2], "test" if i % 5 == 0 else "train", 0.1, 0.2, 3.0) for i in range(30)]
+    names = "doc_id long, text string, label string, split string, avg_degree_centrality double, eigenvector_centrality double, median_retweet_time double"
+    req, truth = sweeps.balanced_requests(spark.createDataFrame(rows, names), 2)
+    assert not list(tmp_path.glob("shard-blocks-*"))
+    assert sorted((x.doc_id, len(x.exemplars)) for x in req.collect()) == [(i, 4) for i in range(0, 30, 5)] and truth.count() == 6
