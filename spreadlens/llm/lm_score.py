@@ -26,7 +26,6 @@ empty counts. An empty table gives no rows; repeated rows are counted and scored
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +52,7 @@ LEAST_STEPS = 500
 #: Training tokens of a shard, and models that are averaged at once.
 SHARD = 4_000_000
 FAN_IN = 16
-#: Distinct tokens a task holds before it passes their counts on.
+#: Distinct tokens a task holds before it passes their counts on, and counts of batches that it holds besides.
 HELD = 400_000
 #: Rows of parameters that are averaged at once.
 ROWS = 8192
@@ -75,28 +74,29 @@ def token_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def out(seen):
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "c"])
+        def summed(parts):
+            t = pa.Table.from_batches(parts).group_by("token", use_threads=False).aggregate([("c", "sum")])
+            return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in ("token", "c_sum")], names=["token", "c"])
 
-        seen: Counter = Counter()
+        parts, new, ends = [], 0, 0
         for b in batches:
-            values, counts = words(b.column("text"))[0].value_counts().flatten()
-            seen.update(dict(zip(values.to_pylist(), counts.to_pylist())))
-            seen[END] += b.num_rows
-            if len(seen) > HELD:
-                yield out(seen)
-                seen = Counter()
-        if seen:
-            yield out(+seen)
+            parts.append(pa.RecordBatch.from_arrays(words(b.column("text"))[0].value_counts().flatten(), names=["token", "c"]))
+            new, ends = new + parts[-1].num_rows, ends + b.num_rows
+            if new > HELD:
+                parts, new = [summed(parts)], 0
+                if parts[0].num_rows > HELD:
+                    yield parts.pop()
+        if ends:
+            yield summed([*parts, pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["token", "c"])])
 
     return docs.select("text").mapInArrow(run, "token binary, c long").where("c > 0").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 class Tables:
-    """Ids and counts of frequent tokens, the end first, and totals."""
+    """Frequent tokens, whose places are their ids, and their counts, the end first, and totals."""
 
     def __init__(self, tokens: list[bytes], known, total: int, distinct: int):
-        self.ids = dict(zip(tokens, range(len(tokens))))
+        self.tokens = tokens
         self.log_c = np.log10(known + 0.5)
         self.words = len(tokens)
         self.total, self.distinct = total, distinct
@@ -109,10 +109,14 @@ class Tables:
     def coded(self, column):
         """For a column of texts: ids of their tokens (END is 0, others of no frequent token -1), the number of tokens of
         each text, and their words."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         word, counts = words(column)
         known = word.dictionary_encode()
-        get = self.ids.get
-        of = np.array([get(t, -1) for t in known.dictionary.to_pylist()], np.int64)
+        if isinstance(self.tokens, list):
+            self.tokens = pa.array(self.tokens, pa.binary())
+        of = pc.fill_null(pc.index_in(known.dictionary, value_set=self.tokens), -1).to_numpy().astype(np.int64)
         ids = np.zeros(len(word) + len(counts), np.int64)
         ids[np.arange(len(word)) + np.repeat(np.arange(len(counts)), counts)] = of[known.indices.to_numpy()]
         return ids, counts + 1, word
@@ -122,6 +126,18 @@ class Tables:
         return np.where(ids < 0, self.words, ids)
 
 
+def counted(row, word, n: int):
+    """For words of ``n`` rows: a list for each row of its distinct words and how often they come."""
+    import pyarrow as pa
+
+    known = word.dictionary_encode()
+    width = max(len(known.dictionary), 1)
+    pairs, times = np.unique(row * width + known.indices.to_numpy(), return_counts=True)
+    ends = np.searchsorted(pairs, np.arange(n + 1) * width).astype(np.int32)
+    cells = [known.dictionary.take(pa.array(pairs % width)), pa.array(times, pa.int64())]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(cells, ["token", "n"]))
+
+
 def sequence(outcomes, length, words: int):
     """Outcomes of texts in turn, before each text ``CONTEXT`` places of ``words + 1``; so the inputs of a token are the
     places before it. (sequence, places of the tokens)."""
@@ -440,22 +456,18 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
         import pyarrow as pa
 
         t = tables()
-        rare_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
         for b in batches:
             ids, length, word = t.coded(b.column("text"))
             n, inner = len(length), ids < 0
             row = np.repeat(np.arange(n), length)
             at = np.flatnonzero(inner)
-            rare = [Counter() for _ in range(n)]
-            for r, w in zip(row[at].tolist(), word.take(pa.array(at - row[at])).to_pylist()):
-                rare[r][w] += 1
+            rare = counted(row[at], word.take(pa.array(at - row[at])), n)
             known = np.bincount(row, ~inner & ((ids > 0) | (t.total > 0)), n).astype(np.int64)
             log_c = np.where(inner, 0.0, t.log_c[np.maximum(ids, 0)])
             packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.r_[0, 4 * np.cumsum(length)].astype(np.int32)), pa.py_buffer(t.outcomes(ids).astype("<i4"))])
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"), b.column("held_out"), pa.array(length), pa.array(known), pa.array(np.bincount(row, log_c - t.base, n), pa.float64()), packed,
-                    pa.array([[{"token": w, "n": n} for w, n in r.items()] for r in rare], rare_type),
+                    b.column("doc_id"), b.column("held_out"), pa.array(length), pa.array(known), pa.array(np.bincount(row, log_c - t.base, n), pa.float64()), packed, rare,
                 ],
                 names=["doc_id", "held_out", "n_tokens", "known", "base", "ids", "rare"],
             )

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -156,6 +157,21 @@ def test_op3_rare_tokens_meet_their_counts_in_the_join(spark, odd, monkeypatch):
     assert {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 6)) for r in lm_score.score(rows).collect()} == whole
 
 
+def test_op3_counts_words_without_an_object_for_each(spark, odd, monkeypatch):
+    monkeypatch.setattr(lm_score, "HELD", 5)                        # counts are passed on in many parts
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    want = Counter(w for r in odd.collect() for w in [*(r.text or "").encode().lower().split(), lm_score.END])
+    got = lm_score.token_counts(odd.select(F.coalesce("text", F.lit("")).alias("text"))).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.token: r.c for r in got} == want
+    rows, word = np.array([0, 0, 0, 2, 2]), pa.array([b"b", b"a", b"b", b"", b"a"], pa.binary())
+    assert [sorted((x["token"], x["n"]) for x in r) for r in lm_score.counted(rows, word, 4).to_pylist()] == [[(b"a", 1), (b"b", 2)], [], [(b"", 1), (b"a", 1)], []]
+    assert lm_score.counted(rows[:0], word[:0], 2).to_pylist() == [[], []]
+    tables = lm_score.Tables([lm_score.END, b"a", "ä".encode()], np.array([3.0, 2.0, 1.0]), 6, 3)
+    ids, length, word = tables.coded(pa.array(["A ä x", None, "", "a A"]))
+    assert ids.tolist() == [1, 2, -1, 0, 0, 0, 1, 1, 0] and length.tolist() == [4, 1, 1, 3] and word.to_pylist()[2] == b"x"
+
+
 def test_op3_does_not_depend_on_the_split(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = [{r.doc_id: r.score for r in lm_score.score(d).collect()} for d in (docs, docs.repartition(8), docs.repartition(64))]
