@@ -91,6 +91,6 @@ def test_each_block_reaches_a_task_once(spark):
 
 
 def test_tasks_hold_bounded_queries_and_few_copies():
-    assert routed._dealt(30, 250_000, 1_000_000, 75_000_000, 100, 8) == (19, 2)
+    assert routed._dealt(30, 250_000, 1_000_000, 75_000_000, 100, 8) == (25, 2)
     assert routed._dealt(4, 20_000, 80_000, 6_000_000, 10, 8) == (3, 11)
     assert routed._dealt(1, 10, 10, 100, 1, 8) == (1, 32)
